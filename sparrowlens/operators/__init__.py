@@ -1,0 +1 @@
+"""DataFrame operators: tokens, windows, pooling, search, layout, clustering, checks."""
