@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, norm
 
 BLOCK_BYTES = 16 << 20
+# scores are compared to so many decimals: equal vectors tie whatever the order of their sums
+DECIMALS = 12
 
 
 def search_one(index: DataFrame, query: list[float], k: int = 8, *, key: str = "chunk_ord", vec: str = "vec") -> DataFrame:
@@ -18,7 +20,7 @@ def search_one(index: DataFrame, query: list[float], k: int = 8, *, key: str = "
         raise ValueError("k must not be negative")
     q = F.array(*[F.lit(float(x)) for x in query])
     length = float(np.sqrt(sum(float(x) ** 2 for x in query)))
-    return index.select(key, cosine(F.col(vec), q, norm(F.col(vec)), F.lit(length)).alias("score")).where("score is not null").orderBy(F.desc("score"), key).limit(k)
+    return index.select(key, F.round(cosine(F.col(vec), q, norm(F.col(vec)), F.lit(length)), DECIMALS).alias("score")).where("score is not null").orderBy(F.desc("score"), key).limit(k)
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 8, *, dim: int, query_key: str = "query_id", key: str = "chunk_ord", vec: str = "vec", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -61,7 +63,7 @@ def _best_of(sent, dim: int, k: int):
                 x = np.asarray(part.column("v").flatten(), np.float64).reshape(-1, dim)
                 o = np.asarray(part.column("o"), np.int64)
                 scale = qn[:, None] * np.sqrt((x * x).sum(1))[None, :]
-                s = np.where(scale > 1e-12, mat @ x.T / np.where(scale > 1e-12, scale, 1), 0.0)
+                s = np.where(scale > 1e-12, np.round(mat @ x.T / np.where(scale > 1e-12, scale, 1), DECIMALS), 0.0)
                 s = np.hstack([best_s, s])
                 o = np.hstack([best_o, np.broadcast_to(o, (len(ids), len(o)))])
                 order = np.lexsort((o, -s), axis=1)[:, :k]

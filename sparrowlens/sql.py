@@ -13,7 +13,7 @@ _SPECIAL = "('[PAD]', '[UNK]', '[CLS]', '[SEP]')"
 
 def _cos(a: str, b: str) -> str:
     scale = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
-    return f"case when {scale} > 1e-12 then list_dot_product({a}, {b}) / {scale} else 0 end"
+    return f"case when {scale} > 1e-12 then round(list_dot_product({a}, {b}) / {scale}, 12) else 0 end"
 
 
 _EMB = "emb as (select vec_id, embedding::double[] as vec from embeddings)"
@@ -28,7 +28,7 @@ _POOLED = f"""{_TOKENS}, {_CHUNK},
      used as (select chunk_ord, unnest(token_ids) as token_id from chunk),
      parts as (select chunk_ord, unnest(range(1, 65)) as i, sif, unnest(vec) as x from used join tok using (token_id)),
      sums as (select chunk_ord, i, sum(sif * x) / sum(sif) as x from parts group by all),
-     pooled as (select c.chunk_ord, coalesce(v.vec, [0.0::double for i in range(64)]) as vec
+     pooled as materialized (select c.chunk_ord, coalesce(v.vec, [0.0::double for i in range(64)]) as vec
                 from chunk c left join (select chunk_ord, list(x order by i) as vec from sums group by 1) v using (chunk_ord))"""
 
 
@@ -38,7 +38,7 @@ def _gram(source: str) -> str:
      mean as (select i, avg(x) as m from coord group by 1),
      centered as (select id, i, x - m as x from coord join mean using (i)),
      flat as (select a.i as a, b.i as b, sum(a.x * b.x) as g from centered a join centered b using (id) group by 1, 2),
-     gram as (select list(r order by a) as g from (select a, list(g order by b) as r from flat group by a))"""
+     gram as materialized (select list(r order by a) as g from (select a, list(g order by b) as r from flat group by a))"""
 
 
 def _power(name: str, steps: int, against: str | None, start: str) -> str:
@@ -100,7 +100,7 @@ _ASKED = f"""asked as (select word, count(*) as times from (select unnest(regexp
      qvec as (select list(x order by i) as v from qsum)"""
 # the common component: leading eigenvector of the sums of products, by repeated products
 _AXIS = f"""pcoord as (select chunk_ord as id, unnest(range(1, 65)) as i, unnest(vec) as x from pooled),
-     gram as (select list(r order by a) as g from (select a, list(g order by b) as r from (select a.i as a, b.i as b, sum(a.x * b.x) as g from pcoord a join pcoord b using (id) group by 1, 2) group by a)),
+     gram as materialized (select list(r order by a) as g from (select a, list(g order by b) as r from (select a.i as a, b.i as b, sum(a.x * b.x) as g from pcoord a join pcoord b using (id) group by 1, 2) group by a)),
      {_power('axis', 200, None, _START)},
      bare as (select chunk_ord, list_transform(list_zip(vec, v), lambda q: q[1] - list_dot_product(vec, v) * q[2]) as vec from pooled, axis)"""
 _WORDS = f"word as (select unnest(regexp_extract_all(lower(text), '{_PAT}')) as word from doc)"
