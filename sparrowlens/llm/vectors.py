@@ -3,31 +3,38 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def is_valid(vec: Column, dim: int) -> Column:
-    """True for a vector of ``dim`` finite numbers that are not all zero; never null."""
-    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    some = F.exists(vec, lambda x: x != 0)
-    return F.coalesce((F.size(vec) == dim) & finite & some, F.lit(False))
+def _valid_units(batches, dim: int):
+    """Arrow batches of valid vectors, scaled to length 1."""
+    for b in batches:
+        lists = b.column("v")
+        whole = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False))
+        kept = lists.filter(pa.array(whole))
+        x = np.asarray(kept.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+        # scaling by the largest entry first keeps the squares of very large or small numbers finite
+        top = np.abs(x).max(axis=1, initial=0)
+        ok = np.isfinite(top) & (top > 0)
+        x = x[ok] / top[ok, None]
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        ords = b.column("ord").filter(pa.array(whole)).filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([ords, pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), dim).cast(pa.list_(pa.float32()))], ["ord", "unit"])
 
 
 def unit_vectors(df: DataFrame, dim: int, key: str = "chunk_ord", vec: str = "vec") -> DataFrame:
     """``(ord, unit)`` of each distinct key with a valid vector, scaled to length 1.
 
-    The stored norm is not used. Null keys have no identity and are left out. Should
-    one key come with several different valid vectors, the smallest (as an array) counts.
+    Valid are vectors of ``dim`` finite numbers that are not all zero; the stored norm is
+    not used. Null keys have no identity and are left out. Should one key come with
+    several different valid vectors, the smallest (as an array) counts.
     """
-    v = df.select(F.col(key).alias("ord"), F.col(vec).alias("v")).where(F.col("ord").isNotNull() & is_valid(F.col("v"), dim))
-    # scaling by the largest entry first keeps the squares of very large or small numbers finite
-    top = F.array_max(F.transform("v", F.abs))
-    v = v.withColumn("v", F.transform("v", lambda x: x.cast("double"))).withColumn("top", top)
-    v = v.select("ord", F.transform("v", lambda x: x / F.col("top")).alias("v"))
-    n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    v = v.withColumn("n", n).select("ord", F.transform("v", lambda x: (x / F.col("n")).cast("float")).alias("unit"))
-    return v.groupBy("ord").agg(F.min("unit").alias("unit"))
+    v = df.select(F.col(key).cast("long").alias("ord"), F.col(vec).cast("array<double>").alias("v")).where("ord is not null and v is not null")
+    units = v.mapInArrow(lambda batches: _valid_units(batches, dim), "ord long, unit array<float>")
+    return units.groupBy("ord").agg(F.min("unit").alias("unit"))
 
 
 def matrix(column, dim: int) -> np.ndarray:
