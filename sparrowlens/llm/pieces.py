@@ -103,7 +103,8 @@ def _each(batch: pa.RecordBatch):
     starts, ends = batch.column("tok_start"), batch.column("tok_end")
     for i in range(batch.num_rows):
         s, e = _spans(starts, i), _spans(ends, i)
-        yield cols["item_id"][i], cols["text"][i], s, e, cols["n"][i], cols["overlap"][i], cuts(cols["n"][i], cols["text"][i], s, e, cols["window"][i], cols["overlap"][i])
+        overlap = min(max(0, cols["overlap"][i]), cols["window"][i] - 1)
+        yield cols["item_id"][i], cols["text"][i], s, e, cols["n"][i], overlap, cuts(cols["n"][i], cols["text"][i], s, e, cols["window"][i], cols["overlap"][i])
 
 
 def cut_points(df: DataFrame) -> DataFrame:
