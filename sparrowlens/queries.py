@@ -19,7 +19,7 @@ from .operators.tokenize import split_words, tokenize, word_counts
 from .operators.windows import window_starts, windows
 from .plans.indexing import without_axis
 from .plans.staging import shared_dir, staged, table
-from .sources import packed
+from .sources import packed, raw
 from .sources.store import Store
 from .sql import ORACLE_SQL, QUERY_TEXT
 
@@ -186,6 +186,18 @@ def vocab_offsets(spark, d):
     return model.heap_offsets(table(spark, d, "vocab"))
 
 
+@_query
+def vocab_preview(spark, d):
+    """The first 200 tokens of the vocabulary."""
+    return table(spark, d, "vocab").select("token_id", "token").orderBy("token_id").limit(200)
+
+
+@_query
+def report_lines(spark, d):
+    """A line of the fidelity report for every coded chunk vector."""
+    return raw.report_lines(model.quantize_error(_stored(spark, d), "chunk_ord", "vec"), "chunk_ord")
+
+
 @_query
 def vocab_lookup(spark, d):
     """Number of uses of each token id in the chunks, with its token."""
@@ -428,6 +440,15 @@ def codec_roundtrip(spark, d):
     return packed.read_packed(spark, path).select("token_id", "token", F.transform("codes", lambda x: x.cast("int")).alias("codes"), F.round("scale", 7).alias("scale"), F.round("sif", 6).alias("sif"))
 
 
+@_query
+def raw_roundtrip(spark, d):
+    """The given vectors written as rows of floats and read back in ranges."""
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    path = os.path.join(folder, f"floats-{os.urandom(8).hex()}.bin")
+    n = raw.write_floats(_emb(spark, d), path, "vec_id", "vec")
+    return raw.read_floats(spark, path, DIM, n).select(F.col("row").alias("vec_id"), F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+
+
 @_query
 def store_roundtrip(spark, d):
     """Every document indexed into a fresh store twice over; what the store then holds."""

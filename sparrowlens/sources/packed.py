@@ -81,10 +81,10 @@ def read_header(path: str, magic: bytes = MAGIC) -> Header:
 
 def _section(f, at: int, count: int, kind: str) -> np.ndarray:
     f.seek(at)
-    out = np.frombuffer(f.read(count * np.dtype(kind).itemsize), kind)
-    if len(out) != count:
+    raw = f.read(count * np.dtype(kind).itemsize)
+    if len(raw) < count * np.dtype(kind).itemsize:
         raise ValueError("packed model: the file ends early")
-    return out
+    return np.frombuffer(raw, kind)
 
 
 def read_components(path: str, magic: bytes = MAGIC) -> np.ndarray:

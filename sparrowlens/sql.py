@@ -134,6 +134,11 @@ ORACLE_SQL = {
         select token_id::int as token_id, token from head union all
         select (row_number() over (order by n desc, word) + 75)::int, word from counted qualify row_number() over (order by n desc, word) <= 1924""",
     "vocab_offsets": "select token_id, coalesce(sum(strlen(token)) over (order by token_id rows between unbounded preceding and 1 preceding), 0)::bigint as offset, coalesce(strlen(token), 0)::int as length from vocab",
+    "vocab_preview": "select token_id, token from vocab order by token_id limit 200",
+    "report_lines": f"""with {_STORED}, {_QUANT.replace(_EMB + ', ', '').replace('vec_id', 'chunk_ord').replace('from emb', 'from stored')},
+        back as (select chunk_ord, vec, [c * scale for c in codes] as b from coded)
+        select chunk_ord, format('  {{:.5f}}  ', {_cos('vec', 'b')}) || chunk_ord as line from back""",
+    "raw_roundtrip": f"with {_EMB} select vec_id, [round(x, 6) for x in vec] as vec from emb",
     "vocab_lookup": f"with {_CHUNK}, used as (select unnest(token_ids) as token_id from chunk), c as (select token_id, count(*) as n from used where token_id is not null group by 1) select c.token_id, coalesce(v.token, '') as token, n from c left join vocab v using (token_id)",
     "pretokenize_counts": f"with {_DOC}, w as (select doc_id, regexp_extract_all(lower(text), '{_PAT}') as w from doc where text is not null) select doc_id, len(w)::int as words, len(list_distinct(w))::int as distinct_words from w",
     "word_freq": f"with {_DOC}, {_WORDS} select word, count(*) as n from word group by 1",

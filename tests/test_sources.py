@@ -99,3 +99,38 @@ def test_stream_ingest_once(spark, tmp_path):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_exchange_files(spark, tmp_path):
+    from sparrowlens.sources import raw
+
+    m = str(tmp_path / "manifest")
+    raw.write_manifest(m, vocab_size=5, hidden_dim=4, model_name="é", model_revision="r1")
+    r = raw.read_manifest(spark, m).first()
+    assert (r.vocab_size, r.hidden_dim, r.unk_id, r.pad_id, r.model_name, r.model_revision) == (5, 4, 1, 0, "é", "r1") and abs(r.sif_a - 1e-3) < 1e-9
+    (tmp_path / "manifest").write_bytes(b"XXXX" + (tmp_path / "manifest").read_bytes()[4:])
+    with pytest.raises(ValueError, match="magic"):
+        raw.read_manifest(spark, m)
+    v = spark.createDataFrame([(0, "a"), (1, "日本"), (2, "")], "token_id int, token string")
+    raw.write_vocabulary(v, str(tmp_path / "v"))
+    assert raw.read_vocabulary(spark, str(tmp_path / "v")).orderBy("token_id").collect() == v.collect()
+    x = spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "k int, v array<float>")
+    assert raw.write_floats(x, str(tmp_path / "f"), "k", "v") == 2
+    assert [list(r.vec) for r in raw.read_floats(spark, str(tmp_path / "f"), 2, 2).orderBy("row").collect()] == [[1.0, 2.0], [3.0, 4.0]]
+    with pytest.raises(ValueError, match="whole rows"):
+        raw.read_floats(spark, str(tmp_path / "f"), 3)
+    e = spark.createDataFrame([(0, "t é", [1, 2], [0.5, 0.25]), (1, "", [], [1.0, 2.0])], raw.VALIDATION)
+    assert raw.write_validation(e, str(tmp_path / "e"), 2) == 2
+    assert raw.read_validation(spark, str(tmp_path / "e"), 2).orderBy("example").collect() == e.collect()
+    (tmp_path / "e").write_bytes((tmp_path / "e").read_bytes()[:-1])
+    with pytest.raises(ValueError, match="early"):
+        raw.read_validation(spark, str(tmp_path / "e"), 2)
+
+
+def test_sweep(spark):
+    from sparrowlens.plans.sweep import sweep
+
+    c = spark.createDataFrame([(1, [2, 3]), (5, [3]), (9, [])], "chunk_ord long, token_ids array<int>")
+    seen = []
+    r = sweep(c, tables(spark)[1], 2, np.ones(2), sizes=(4, 7), progress=seen.append).collect()
+    assert [x.corpus_size for x in r] == [4, 7] and len(seen) == 2 and all(x.speedup > 0 for x in r)
