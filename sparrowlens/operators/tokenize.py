@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -14,6 +15,7 @@ MAX_VOCABULARY = 2_000_000
 _KEPT = 1 << 17
 
 
+@functools.cache
 def _classes() -> re.Pattern:
     from ..functions.text import WHITE
 

@@ -17,10 +17,14 @@ CHUNKS = "doc_hash string, start int, doc_name string, text string, token_ids ar
 
 
 class Store:
-    """Parquet tables ``docs`` and ``chunks`` below ``path``; windows are divided by hash prefix."""
+    """Parquet tables ``docs`` and ``chunks`` below ``path``; windows are divided by hash prefix.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    ``digits`` hex digits of the hash make 16 ** digits folders; more suit a larger store,
+    and a store keeps the number it was begun with.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, digits: int = 1):
+        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
 
     def _read(self, name: str, schema: str) -> DataFrame:
         where = f"{self.path}/{name}"
@@ -46,7 +50,7 @@ class Store:
         """Windows of one text by position; only the folder of its prefix is read."""
         d = self._read("chunks", CHUNKS)
         if "prefix" in d.columns:
-            d = d.where(F.col("prefix") == doc_hash[:2]).drop("prefix")
+            d = d.where(F.col("prefix") == doc_hash[: self.digits]).drop("prefix")
         return d.where(F.col("doc_hash") == doc_hash).orderBy("start")
 
     def lookup(self, docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -59,8 +63,8 @@ class Store:
         """Adds documents and their windows. A batch of one name replaces itself, so a repeated
         write changes nothing; windows are written first, so no document lacks them."""
         batch = batch or uuid.uuid4().hex
-        windows = chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]).withColumn("prefix", F.substring("doc_hash", 1, 2)).withColumn("batch", F.lit(batch))
-        windows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "prefix").parquet(f"{self.path}/chunks")
+        windows = chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]).withColumn("prefix", F.substring("doc_hash", 1, self.digits)).withColumn("batch", F.lit(batch))
+        windows.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "prefix").parquet(f"{self.path}/chunks")
         docs.select(*[c.split()[0] for c in DOCS.split(", ")]).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/docs")
 
     def clear(self) -> None:
