@@ -176,7 +176,7 @@ def _to_cells(rows: DataFrame, pivots: dict[int, np.ndarray], axes: np.ndarray,
     may travel with the tasks. New cell number: old * fanout + pivot + 1.
     """
     dim = axes.shape[0]
-    sent = rows.sparkSession.sparkContext.broadcast((pivots, axes))
+    sent = rows.sparkSession.sparkContext.broadcast(({c: _reduced(p, axes) for c, p in pivots.items()}, axes))
 
     def split(batches):
         pivots, axes = sent.value
@@ -199,56 +199,74 @@ def _to_cells(rows: DataFrame, pivots: dict[int, np.ndarray], axes: np.ndarray,
 WAVE = 1024
 
 
-def _cells(points: DataFrame, n: int, axes: np.ndarray, *, target: int, limit: int, overlap: int, margin: float) -> DataFrame:
-    """Rows of cells of at most ``limit`` rows or so; a row is in up to ``overlap`` cells per level.
+class Partition:
+    """Overlapping cells over unit rows ``(rep, unit)``, and where other rows would lie in them.
 
-    Cells above the limit are split again by pivots of their own. Rows that no pivot
+    Cells above ``limit`` rows are split again by pivots of their own. Rows that no pivot
     tells apart are cut by hash, each piece with the same few rows besides, so that the
     pieces still share core points.
     """
-    dim = axes.shape[0]
-    done, rows = [], points.select("rep", F.lit(0).cast("long").alias("cell"), "unit")
-    big = {0: n}
-    before = n
-    for level in range(8):
-        split = []
+
+    def __init__(self, points: DataFrame, n: int, axes: np.ndarray, *, target: int, limit: int, overlap: int, margin: float):
+        self.axes, self.levels, self.parts = axes, [], {}
+        done, rows = [], points.select("rep", F.lit(0).cast("long").alias("cell"), "unit")
+        big, before = {0: n}, n
+        for level in range(8):
+            split = []
+            for wave, pivots in self._drawn(rows, big, level, target):
+                self.levels.append((set(wave), pivots))
+                mine = rows.where(F.col("cell").isin(list(wave)))
+                split.append(_to_cells(mine, pivots, axes, overlap=overlap if level == 0 else 2, margin=margin, fanout=1024))
+            rows = staged(_all(split[1:], split[0]))
+            big = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().where(F.col("count") > limit).collect()}
+            if not big:
+                self.rows = _all(done, rows)
+                return
+            done.append(rows.where(~F.col("cell").isin(list(big))))
+            rows = rows.where(F.col("cell").isin(list(big)))
+            if max(big.values()) > 0.7 * before:
+                break
+            before = max(big.values())
+        self.parts = {c: -(-size // (limit // 2)) for c, size in big.items()}
+        parts = F.element_at(F.create_map(*[F.lit(x) for p in self.parts.items() for x in p]), F.col("cell"))
+        pieces = rows.withColumn("parts", parts).withColumn("h", F.pmod(F.xxhash64("rep", F.lit("piece")), F.lit(1 << 30)))
+        few = F.col("h") < F.lit(float(1 << 30)) * 64.0 / F.lit(float(limit // 2)) / F.col("parts")
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        pieces = pieces.withColumn("p", F.explode(F.when(few, every).otherwise(F.array(F.pmod(F.col("h"), F.col("parts")).cast("int")))))
+        self.rows = _all(done, pieces.select("rep", (F.col("cell") * 1024 + F.col("p") + 1).alias("cell"), "unit"))
+
+    @staticmethod
+    def _drawn(rows: DataFrame, big: dict[int, int], level: int, target: int):
+        """Waves of large cells with pivots drawn from their rows by hash."""
         cells = sorted(big)
         for at in range(0, len(cells), WAVE):
             wave = {c: big[c] for c in cells[at : at + WAVE]}
             fanout = min(1024, max(2, -(-max(wave.values()) // target))) if level == 0 else 64
             share = F.create_map(*[F.lit(x) for c, size in wave.items() for x in (c, min(1.0, 2.0 * fanout / size))])
             draw = F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            mine = rows.where(F.col("cell").isin(list(wave)))
-            # about twice the pivots needed are drawn by hash; the first of them serve
-            drawn = mine.where(draw < F.element_at(share, F.col("cell"))).select("cell", "rep", "unit", draw.alias("d")).collect()
+            # about twice the pivots needed are drawn; the first of them serve
+            drawn = rows.where(F.col("cell").isin(list(wave))).where(draw < F.element_at(share, F.col("cell"))).select("cell", "rep", "unit", draw.alias("d")).collect()
             found: dict[int, list] = {}
             for r in sorted(drawn, key=lambda r: (r.cell, r.d, r.rep)):
                 if len(found.setdefault(r.cell, [])) < fanout:
                     found[r.cell].append(r.unit)
-            for c in wave:
-                if c not in found:
-                    found[c] = [list(np.eye(dim)[0])]
-            pivots = {c: _reduced(np.asarray(x, np.float32), axes) for c, x in found.items()}
-            split.append(_to_cells(mine, pivots, axes, overlap=overlap if level == 0 else 2, margin=margin, fanout=1024))
-        rows = split[0]
-        for s in split[1:]:
-            rows = rows.unionByName(s)
-        rows = staged(rows)
-        sizes = rows.groupBy("cell").count().where(F.col("count") > limit)
-        big = {r["cell"]: r["count"] for r in sizes.collect()}
-        if not big:
-            return _all(done, rows)
-        done.append(rows.where(~F.col("cell").isin(list(big))))
-        rows = rows.where(F.col("cell").isin(list(big)))
-        if max(big.values()) > 0.7 * before:
-            break
-        before = max(big.values())
-    parts = F.create_map(*[F.lit(x) for c, size in big.items() for x in (c, -(-size // (limit // 2)))])
-    pieces = rows.withColumn("parts", F.element_at(parts, F.col("cell"))).withColumn("h", F.pmod(F.xxhash64("rep", F.lit("piece")), F.lit(1 << 30)))
-    few = F.col("h") < F.lit(float(1 << 30)) * 64.0 / F.lit(float(limit // 2)) / F.col("parts")
-    pieces = pieces.withColumn("p", F.explode(F.when(few, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.col("h"), F.col("parts")).cast("int")))))
-    pieces = pieces.select("rep", (F.col("cell") * 1024 + F.col("p") + 1).alias("cell"), "unit")
-    return _all(done, pieces)
+            for c in set(wave) - set(found):
+                found[c] = [r.unit for r in rows.where(F.col("cell") == c).orderBy("rep").limit(2).collect()]
+            yield wave, {c: np.asarray(x, np.float32) for c, x in found.items()}
+
+    def file(self, rows: DataFrame, *, overlap: int, margin: float) -> DataFrame:
+        """``(rep, cell, unit)`` of other rows in the cells around them."""
+        at = rows.select("rep", F.lit(0).cast("long").alias("cell"), "unit")
+        for cells, pivots in self.levels:
+            inside = F.col("cell").isin(list(cells))
+            at = at.where(~inside).unionByName(_to_cells(at.where(inside), pivots, self.axes, overlap=overlap, margin=margin, fanout=1024))
+        if not self.parts:
+            return at
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in self.parts.items() for x in p]), F.col("cell")), F.lit(0))
+        at = at.withColumn("parts", parts)
+        whole = at.where("parts = 0").select("rep", "cell", "unit")
+        cut = at.where("parts > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return whole.unionByName(cut.select("rep", (F.col("cell") * 1024 + F.col("p") + 1).alias("cell"), "unit"))
 
 
 def _all(done: list[DataFrame], rows: DataFrame) -> DataFrame:
@@ -275,6 +293,7 @@ def similarity_clusters(
     margin: float = 0.2,
     shared: float = 0.3,
     merge: float = 0.82,
+    again: float = 0.75,
     member: float = 0.6,
     spread: float = 0.05,
     min_size: int = 3,
@@ -296,7 +315,8 @@ def similarity_clusters(
     same = staged(same)
     axes = _projection(same, dim, variance)
     points = same.select("rep", "unit", F.explode(F.sequence(F.lit(1), F.least(F.lit(min_size), F.col("copies")))).alias("i")).select("rep", "unit")
-    cells = _cells(points, n, axes, target=target, limit=limit, overlap=overlap, margin=margin)
+    partition = Partition(points, n, axes, target=target, limit=limit, overlap=overlap, margin=margin)
+    cells = partition.rows
     sent = spark.sparkContext.broadcast(axes)
 
     def cluster(group: pa.Table) -> pa.Table:
@@ -326,14 +346,21 @@ def similarity_clusters(
     local = found.where("rep is null").select("local", "cell", "total", "n")
     member_rows = found.where("rep is not null").select("rep", "cell", "local", "core").distinct()
     comp = staged(_joined(local, member_rows, shared=shared, merge=merge))
-    centre = local.join(comp, "local").select("component", F.posexplode("total").alias("i", "x")).groupBy("component", "i").agg(F.sum("x").alias("x"))
-    centre = centre.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    centre = staged(centre.select("component", F.expr("transform(c, e -> e.x / len)").alias("centre")))
-    offers = member_rows.where("local >= 0").join(comp, "local").select("rep", "component").distinct()
-    scored = offers.join(same.select("rep", "unit", "copies"), "rep").join(centre, "component")
-    cos = F.aggregate(F.zip_with("unit", "centre", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    best = scored.select("rep", "copies", "component", cos.alias("closeness")).groupBy("rep").agg(F.first("copies").alias("copies"), F.max(F.struct("closeness", (-F.col("component")).alias("c"))).alias("m"))
-    best = staged(best.select("rep", "copies", (-F.col("m.c")).alias("component"), F.col("m.closeness").alias("closeness")).where(F.col("closeness") >= member))
+    # exact passes: every row against all centroids that lie around its cells, on full
+    # vectors; the first gives truer centroids, of which those that now agree are one
+    for last in (False, True):
+        centre = staged(_centres(local, comp))
+        comp = staged(_alike(comp, centre, dim, merge=again if last else merge, target=target, limit=limit))
+        centre = staged(_centres(local, comp))
+        guests = partition.file(centre.select(F.col("component").alias("rep"), F.col("centre").cast("array<float>").alias("unit")), overlap=6 * overlap, margin=3 * margin)
+        fits = cells.distinct().groupBy("cell").cogroup(guests.groupBy("cell")).applyInArrow(lambda p, c: _fit(p, c, dim, member), _FIT)
+        if not last:
+            local = staged(fits.where("rep is null").select(F.col("component").alias("local"), "total", "n"))
+            comp = local.select("local", F.col("local").alias("component")).distinct()
+    fits = fits.where("rep is not null")
+    best = fits.groupBy("rep").agg(F.max(F.struct("closeness", (-F.col("component")).alias("c"))).alias("m"))
+    best = best.join(same.select("rep", "copies"), "rep")
+    best = staged(best.select("rep", "copies", (-F.col("m.c")).alias("component"), F.col("m.closeness").alias("closeness")))
     usual = best.groupBy("component").agg(F.avg("closeness").alias("mean"), F.coalesce(F.stddev_pop("closeness"), F.lit(0.0)).alias("sd"))
     kept = best.join(usual, "component").where(F.col("closeness") >= F.col("mean") - F.greatest(3 * F.col("sd"), F.lit(spread)))
     named = kept.groupBy("component").agg(F.min("rep").alias("cluster"), F.sum("copies").alias("size")).where(F.col("size") >= min_size)
@@ -345,6 +372,83 @@ def similarity_clusters(
     return alone.unionByName(several)
 
 
+def _centres(local: DataFrame, comp: DataFrame) -> DataFrame:
+    """``(component, centre, n)``: unit centroids of joined local clusters, and their weight."""
+    c = local.join(comp, "local").select("component", "n", F.posexplode("total").alias("i", "x")).groupBy("component", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    c = c.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"), F.first("n").alias("n"))
+    return c.select("component", F.expr("transform(c, e -> e.x / len)").alias("centre"), "n")
+
+
+def _alike(comp: DataFrame, centre: DataFrame, dim: int, *, merge: float, target: int, limit: int) -> DataFrame:
+    """``(local, component)`` after joining components whose centroids agree.
+
+    Parts of one cluster that no core point ties together have centroids close to each
+    other. The centroids are divided into cells like the rows; each follows the
+    closest one of larger weight, so a small part between two clusters does not tie them.
+    """
+    rows = centre.select(F.col("component").alias("rep"), F.col("centre").cast("array<float>").alias("unit"))
+    n = rows.count()
+    if n < 2:
+        return comp
+
+    def link(group: pa.Table) -> pa.Table:
+        rep = np.asarray(group.column("rep"))
+        order = np.argsort(rep, kind="stable")
+        u, ids, weight = matrix(group.column("unit").combine_chunks(), dim)[order], rep[order], np.asarray(group.column("n"))[order]
+        up, close = np.full(len(ids), -1), np.full(len(ids), -2.0)
+        for i in range(0, len(u), BLOCK):
+            s = u[i : i + BLOCK] @ u.T
+            w, k = weight[i : i + BLOCK, None], np.arange(i, i + len(s))[:, None]
+            larger = (weight[None, :] > w) | ((weight[None, :] == w) & (np.arange(len(u))[None, :] < k))
+            s[~larger | (s < merge)] = -2
+            up[i : i + BLOCK], close[i : i + BLOCK] = s.argmax(1), s.max(1)
+        ok = close > -2
+        return pa.table({"a": ids[ok], "b": ids[up[ok]], "cos": close[ok]})
+
+    cells = Partition(rows, n, np.eye(dim, dtype=np.float32), target=target, limit=limit, overlap=4, margin=0.3).rows
+    cells = cells.join(centre.select(F.col("component").alias("rep"), "n"), "rep")
+    links = cells.groupBy("cell").applyInArrow(link, "a long, b long, cos double").groupBy("a").agg(F.max_by("b", F.struct("cos", -F.col("b"))).alias("b"))
+    joined = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("low"))
+    return comp.join(joined, "component", "left").select("local", F.coalesce("low", "component").alias("component"))
+
+
+_FIT = "rep long, component long, closeness double, total array<double>, n long"
+
+
+def _fit(points: pa.Table, centres: pa.Table, dim: int, member: float) -> pa.Table:
+    """The best centroid of a cell for each of its rows, if it is close enough; and, without
+    ``rep``, the sum and number of the rows of each centroid."""
+    rep, best, close, total, size = (np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros((0, dim)), np.zeros(0, np.int64))
+    ids = np.zeros(0, np.int64)
+    if len(points) and len(centres):
+        c, ids = matrix(centres.column("unit").combine_chunks(), dim), np.asarray(centres.column("rep"))
+        order = np.argsort(ids, kind="stable")
+        c, ids = c[order], ids[order]
+        u, rep = matrix(points.column("unit").combine_chunks(), dim), np.asarray(points.column("rep"))
+        best, close = np.empty(len(u), np.int64), np.empty(len(u))
+        step = max(1, (1 << 23) // len(c))
+        for i in range(0, len(u), step):
+            s = u[i : i + step] @ c.T
+            best[i : i + step], close[i : i + step] = s.argmax(1), s.max(1)
+        ok = close >= member
+        u, rep, best, close = u[ok], rep[ok], best[ok], close[ok]
+        total = np.zeros((len(c), dim))
+        np.add.at(total, best, u.astype(np.float64))
+        size = np.bincount(best, minlength=len(c))
+    live = np.nonzero(size)[0]
+    n, m = len(rep), len(live)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(total[live].ravel(), pa.float64()), dim).cast(pa.list_(pa.float64()))
+    return pa.table(
+        {
+            "rep": pa.concat_arrays([pa.array(rep, pa.int64()), pa.nulls(m, pa.int64())]),
+            "component": pa.concat_arrays([pa.array(ids[best] if n else best, pa.int64()), pa.array(ids[live], pa.int64())]),
+            "closeness": pa.concat_arrays([pa.array(close, pa.float64()), pa.nulls(m, pa.float64())]),
+            "total": pa.concat_arrays([pa.nulls(n, pa.list_(pa.float64())), flat]),
+            "n": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(size[live].astype(np.int64))]),
+        }
+    )
+
+
 def _joined(local: DataFrame, members: DataFrame, *, shared: float, merge: float) -> DataFrame:
     """``(local, component)``: local clusters joined where they share core points.
 
@@ -361,9 +465,13 @@ def _joined(local: DataFrame, members: DataFrame, *, shared: float, merge: float
     near = seen.where("b >= 0 and a < b").join(present, ["a", "bc"]).join(back, ["b", "ac"])
     near = near.where(F.col("n") >= shared * F.least("p", "q")).select("a", "b")
     unit = F.transform("total", lambda x: x / F.sqrt(F.aggregate("total", F.lit(0.0), lambda s, y: s + y * y)))
-    centre = local.select("local", unit.alias("c"))
-    near = near.join(centre.select(F.col("local").alias("a"), F.col("c").alias("ca")), "a").join(centre.select(F.col("local").alias("b"), F.col("c").alias("cb")), "b")
-    near = near.where(F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= merge).select("a", "b")
+    centre = local.select("local", unit.alias("c"), "n")
+    near = near.join(centre.select(F.col("local").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), "a").join(centre.select(F.col("local").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb")), "b")
+    near = near.withColumn("cos", F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).where(F.col("cos") >= merge)
+    # a cluster follows the closest larger one only: a small part between two does not tie them
+    larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    near = near.select(F.when(larger, F.col("b")).otherwise(F.col("a")).alias("a"), F.struct("cos", F.when(larger, F.col("a")).otherwise(F.col("b")).alias("b")).alias("up"))
+    near = near.groupBy("a").agg(F.max("up").alias("up")).select("a", F.col("up.b").alias("b"))
     comp = connected_components(near).select(F.col("node").alias("local"), "component")
     return local.select("local").join(comp, "local", "left").select("local", F.coalesce("component", "local").alias("component"))
 
