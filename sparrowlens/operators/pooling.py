@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_MODEL_BYTES = 512 << 20
 
@@ -23,8 +24,8 @@ def token_matrix(emb: DataFrame, dim: int, limit: int = MAX_MODEL_BYTES) -> tupl
     return ids[order], np.hstack([vec * w[:, None], w[:, None]])[order].astype(np.float64)
 
 
-def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord", tokens: str = "token_ids") -> DataFrame:
-    """``(key, vec)``: sum of weight * vector over sum of weights of the tokens of each row.
+def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord", tokens: str = "token_ids", keep: bool = False) -> DataFrame:
+    """``(key, vec)``, or with ``keep`` all columns and ``vec``: sum of weight * vector over sum of weights of the tokens of each row.
 
     ``emb`` has ``token_id``, ``vec`` and ``sif``. Ids without a row or with weight 0 do
     not count; a row with no weight (or no tokens) gets a zero vector. The token table
@@ -33,13 +34,21 @@ def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord",
     held = token_matrix(emb, dim)
     picked = chunks.select(F.col(key).alias("key"), F.col(tokens).alias("tokens"))
     if held is None:
-        return _pool_joined(picked, emb, dim).withColumnRenamed("key", key)
+        pooled = _pool_joined(picked, emb, dim).withColumnRenamed("key", key)
+        return chunks.drop("vec").join(pooled, key) if keep else pooled
+    if keep:
+        rows, lists_in = chunks.drop("vec"), tokens
+        out = T.StructType([*rows.schema.fields, T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    else:
+        rows, lists_in = picked, "tokens"
+        out = T.StructType([picked.schema["key"], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    passed = [f.name for f in out.fields[:-1]]
     sent = chunks.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
-        ids, rows = sent.value
+        ids, weighted = sent.value
         for b in batches:
-            lists = b.column("tokens")
+            lists = b.column(lists_in)
             flat = np.asarray(lists.flatten().fill_null(-1), np.int64)
             n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
             row = np.repeat(np.arange(b.num_rows), n)
@@ -52,13 +61,14 @@ def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord",
                 first = np.r_[0, np.nonzero(np.diff(row))[0] + 1]
                 for i in range(0, len(first), 4096):
                     a, z = first[i], first[i + 4096] if i + 4096 < len(first) else len(row)
-                    total[row[first[i : i + 4096]]] = np.add.reduceat(rows[at[a:z]], first[i : i + 4096] - a, axis=0)
+                    total[row[first[i : i + 4096]]] = np.add.reduceat(weighted[at[a:z]], first[i : i + 4096] - a, axis=0)
             w = total[:, dim]
             vec = np.where((w > 1e-8)[:, None], total[:, :dim] / np.where(w > 1e-8, w, 1)[:, None], 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), dim).cast(pa.list_(pa.float64()))], ["key", "vec"])
+            lists_out = pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), lists_out], [*passed, "vec"])
 
-    kind = chunks.schema[key].dataType.simpleString()
-    return picked.mapInArrow(run, f"key {kind}, vec array<double>").withColumnRenamed("key", key)
+    pooled = rows.mapInArrow(run, out)
+    return pooled if keep else pooled.withColumnRenamed("key", key)
 
 
 def _pool_joined(picked: DataFrame, emb: DataFrame, dim: int) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.vectors import norm, without_component
 from ..operators.linear import top_component
 from ..operators.pooling import pool
 from ..operators.tokenize import tokenize
-from ..operators.windows import OVERLAP, SIZE, windows
+from ..operators.windows import OVERLAP, SIZE, window_starts, windows
 
 
 def without_axis(pooled: DataFrame, axis: np.ndarray, key: str) -> DataFrame:
@@ -33,10 +33,10 @@ def index_documents(docs: DataFrame, vocab: DataFrame, emb: DataFrame, dim: int,
     """
     d = docs.where("text is not null").select(F.sha2("text", 256).alias("doc_hash"), F.col("name").alias("doc_name"), "text")
     d = d.groupBy("doc_hash").agg(F.min("doc_name").alias("doc_name"), F.first("text").alias("text"))
-    w = windows(tokenize(d, vocab), size=size, overlap=overlap)
-    w = w.withColumn("_id", F.concat_ws("#", "doc_hash", "start"))
-    v = embed(w, emb, dim, key="_id", axis=axis)
-    chunks = w.join(v, "_id").select("doc_hash", "start", "doc_name", F.col("chunk_text").alias("text"), "token_ids", "char_start", "char_end", "vec", "norm")
-    counts = w.groupBy("doc_hash").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
-    meta = d.select("doc_hash", "doc_name").join(counts, "doc_hash", "left")
-    return meta.select("doc_hash", "doc_name", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("added_at")), chunks
+    t = tokenize(d, vocab)
+    w = windows(t, size=size, overlap=overlap)
+    a = F.array(*[F.lit(float(x)) for x in axis])
+    # vectors are made in the pass that cuts the windows, so nothing is joined or shuffled
+    v = pool(w.withColumn("_id", F.concat_ws("#", "doc_hash", "start")), emb, dim, key="_id", keep=True).withColumn("vec", without_component(F.col("vec"), a))
+    chunks = v.select("doc_hash", "start", "doc_name", F.col("chunk_text").alias("text"), "token_ids", "char_start", "char_end", "vec", norm(F.col("vec")).alias("norm"))
+    return t.select("doc_hash", "doc_name", F.coalesce(F.size(window_starts(F.size("token_ids"), size, overlap)), F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("added_at")), chunks
