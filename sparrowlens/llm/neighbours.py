@@ -171,9 +171,9 @@ def nearest_neighbours(
                 own = sent.value.leaves(u)
                 keys[np.arange(len(u))[:, None], own] = -1
                 go = np.argpartition(keys, m - 1, axis=1)[:, :m]
-                first = np.take_along_axis(keys, go, 1) < 0
+                late = np.take_along_axis(keys, go, 1)
                 who = np.repeat(np.arange(len(u)), m)
-                yield pa.RecordBatch.from_arrays([pa.array(ords[who]), pa.array(go.ravel().astype(np.int32)), pa.array(first.ravel())], ["ord", "leaf", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(ords[who]), pa.array(go.ravel().astype(np.int32)), pa.array(late.ravel())], ["ord", "leaf", "late"])
 
     filed = v.mapInArrow(file, "ord long, leaf int, unit array<float>")
     sizes = {r["leaf"]: -(-r["count"] // block) for r in filed.groupBy("leaf").count().collect() if r["count"] > block}
@@ -182,19 +182,21 @@ def nearest_neighbours(
     else:
         blocks = F.lit(1)
     filed = filed.withColumn("block", F.pmod(F.xxhash64("ord"), blocks).cast("int"))
-    trips = staged(wanted.mapInArrow(visit, "ord long, leaf int, own boolean"))
+    trips = staged(wanted.mapInArrow(visit, "ord long, leaf int, late float"))
     trips = trips.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
     def round_(trips: DataFrame, floors: DataFrame | None) -> DataFrame:
         q = trips.join(wanted, "ord")
         q = q.join(floors, "ord", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))) if floors is not None else q.withColumn("floor", F.lit(-2.0))
+        # a leaf behind a split at distance d holds nothing closer than d: cosine 1 - d * d / 2 at most
+        q = q.where((F.col("late") < 0) | (1 - F.col("late") * F.col("late") / 2 >= F.col("floor") - 1e-5))
         q = q.select("ord", "leaf", "block", "unit", F.col("floor").cast("float").alias("floor"))
         return filed.groupBy("leaf", "block").cogroup(q.groupBy("leaf", "block")).applyInArrow(lambda p, a: _rank(p, a, dim, k), _HIT)
 
     # the query's own leaf of each tree first: its k-th best there is a floor for the rest
-    near = staged(_best(round_(trips.where("own"), None), k))
+    near = staged(_best(round_(trips.where("late < 0"), None), k))
     floors = near.where(F.col("rank") == k).select("ord", F.col("cos").alias("floor"))
-    far = round_(trips.where("not own"), floors)
+    far = round_(trips.where("late >= 0"), floors)
     return _best(near.select("ord", "other", "cos").unionByName(far), k)
 
 
