@@ -353,7 +353,7 @@ def similarity_clusters(
         comp = staged(_alike(comp, centre, dim, merge=again if last else merge, target=target, limit=limit))
         centre = staged(_centres(local, comp))
         guests = partition.file(centre.select(F.col("component").alias("rep"), F.col("centre").cast("array<float>").alias("unit")), overlap=6 * overlap, margin=3 * margin)
-        fits = cells.distinct().groupBy("cell").cogroup(guests.groupBy("cell")).applyInArrow(lambda p, c: _fit(p, c, dim, member), _FIT)
+        fits = cells.groupBy("cell").cogroup(guests.groupBy("cell")).applyInArrow(lambda p, c: _fit(p, c, dim, member), _FIT)
         if not last:
             local = staged(fits.where("rep is null").select(F.col("component").alias("local"), "total", "n"))
             comp = local.select("local", F.col("local").alias("component")).distinct()
@@ -361,7 +361,10 @@ def similarity_clusters(
     best = fits.groupBy("rep").agg(F.max(F.struct("closeness", (-F.col("component")).alias("c"))).alias("m"))
     best = best.join(same.select("rep", "copies"), "rep")
     best = staged(best.select("rep", "copies", (-F.col("m.c")).alias("component"), F.col("m.closeness").alias("closeness")))
-    usual = best.groupBy("component").agg(F.avg("closeness").alias("mean"), F.coalesce(F.stddev_pop("closeness"), F.lit(0.0)).alias("sd"))
+    # how far members usually are from their centroid, each key counted, also those of equal vectors
+    w, c = F.col("copies"), F.col("closeness")
+    usual = best.groupBy("component").agg((F.sum(w * c) / F.sum(w)).alias("mean"), (F.sum(w * c * c) / F.sum(w)).alias("square"))
+    usual = usual.select("component", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("sd"))
     kept = best.join(usual, "component").where(F.col("closeness") >= F.col("mean") - F.greatest(3 * F.col("sd"), F.lit(spread)))
     named = kept.groupBy("component").agg(F.min("rep").alias("cluster"), F.sum("copies").alias("size")).where(F.col("size") >= min_size)
     kept = kept.join(named, "component").select("rep", "cluster", "closeness", "copies")
