@@ -3,8 +3,9 @@
 Density clustering over a spatial partition: vectors are reduced by PCA, assigned to
 the cells of their nearest pivots (with a margin, so that cells overlap), clustered
 by density inside each cell, and the local clusters of different cells are joined
-where they share core points. A final exact pass on the full vectors checks each
-member against the centroid of its cluster; medoids describe the clusters.
+where they share core points. Cells only propose: exact passes on the full vectors set
+every row against all centroids, and the rows that no centroid claims against all other
+such rows, so members that met in no cell are found there; medoids describe the clusters.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .vectors import matrix, unit_vectors
 
 NEIGHBOURS = 32
 BLOCK = 1024
+# rows that all tasks hold at once in the exact passes
+SENT = 1 << 16
 
 
 # --- inside one cell -----------------------------------------------------------------
@@ -200,7 +203,7 @@ WAVE = 1024
 
 
 class Partition:
-    """Overlapping cells over unit rows ``(rep, unit)``, and where other rows would lie in them.
+    """Overlapping cells over unit rows ``(rep, unit)``.
 
     Cells above ``limit`` rows are split again by pivots of their own. Rows that no pivot
     tells apart are cut by hash, each piece with the same few rows besides, so that the
@@ -208,13 +211,11 @@ class Partition:
     """
 
     def __init__(self, points: DataFrame, n: int, axes: np.ndarray, *, target: int, limit: int, overlap: int, margin: float):
-        self.axes, self.levels, self.parts = axes, [], {}
         done, rows = [], points.select("rep", F.lit(0).cast("long").alias("cell"), "unit")
         big, before = {0: n}, n
         for level in range(8):
             split = []
             for wave, pivots in self._drawn(rows, big, level, target):
-                self.levels.append((set(wave), pivots))
                 mine = rows.where(F.col("cell").isin(list(wave)))
                 split.append(_to_cells(mine, pivots, axes, overlap=overlap if level == 0 else 2, margin=margin, fanout=1024))
             rows = staged(_all(split[1:], split[0]))
@@ -227,8 +228,8 @@ class Partition:
             if max(big.values()) > 0.7 * before:
                 break
             before = max(big.values())
-        self.parts = {c: -(-size // (limit // 2)) for c, size in big.items()}
-        parts = F.element_at(F.create_map(*[F.lit(x) for p in self.parts.items() for x in p]), F.col("cell"))
+        cut = {c: -(-size // (limit // 2)) for c, size in big.items()}
+        parts = F.element_at(F.create_map(*[F.lit(x) for p in cut.items() for x in p]), F.col("cell"))
         pieces = rows.withColumn("parts", parts).withColumn("h", F.pmod(F.xxhash64("rep", F.lit("piece")), F.lit(1 << 30)))
         few = F.col("h") < F.lit(float(1 << 30)) * 64.0 / F.lit(float(limit // 2)) / F.col("parts")
         every = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -254,20 +255,6 @@ class Partition:
                 found[c] = [r.unit for r in rows.where(F.col("cell") == c).orderBy("rep").limit(2).collect()]
             yield wave, {c: np.asarray(x, np.float32) for c, x in found.items()}
 
-    def file(self, rows: DataFrame, *, overlap: int, margin: float) -> DataFrame:
-        """``(rep, cell, unit)`` of other rows in the cells around them."""
-        at = rows.select("rep", F.lit(0).cast("long").alias("cell"), "unit")
-        for cells, pivots in self.levels:
-            inside = F.col("cell").isin(list(cells))
-            at = at.where(~inside).unionByName(_to_cells(at.where(inside), pivots, self.axes, overlap=overlap, margin=margin, fanout=1024))
-        if not self.parts:
-            return at
-        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in self.parts.items() for x in p]), F.col("cell")), F.lit(0))
-        at = at.withColumn("parts", parts)
-        whole = at.where("parts = 0").select("rep", "cell", "unit")
-        cut = at.where("parts > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return whole.unionByName(cut.select("rep", (F.col("cell") * 1024 + F.col("p") + 1).alias("cell"), "unit"))
-
 
 def _all(done: list[DataFrame], rows: DataFrame) -> DataFrame:
     for d in done:
@@ -315,8 +302,7 @@ def similarity_clusters(
     same = staged(same)
     axes = _projection(same, dim, variance)
     points = same.select("rep", "unit", F.explode(F.sequence(F.lit(1), F.least(F.lit(min_size), F.col("copies")))).alias("i")).select("rep", "unit")
-    partition = Partition(points, n, axes, target=target, limit=limit, overlap=overlap, margin=margin)
-    cells = partition.rows
+    cells = Partition(points, n, axes, target=target, limit=limit, overlap=overlap, margin=margin).rows
     sent = spark.sparkContext.broadcast(axes)
 
     def cluster(group: pa.Table) -> pa.Table:
@@ -346,26 +332,21 @@ def similarity_clusters(
     local = found.where("rep is null").select("local", "cell", "total", "n")
     member_rows = found.where("rep is not null").select("rep", "cell", "local", "core").distinct()
     comp = staged(_joined(local, member_rows, shared=shared, merge=merge))
-    # exact passes: every row against all centroids that lie around its cells, on full
-    # vectors; the first gives truer centroids, of which those that now agree are one
-    for last in (False, True):
-        centre = staged(_centres(local, comp))
-        comp = staged(_alike(comp, centre, dim, merge=again if last else merge, target=target, limit=limit))
-        centre = staged(_centres(local, comp))
-        guests = partition.file(centre.select(F.col("component").alias("rep"), F.col("centre").cast("array<float>").alias("unit")), overlap=6 * overlap, margin=3 * margin)
-        fits = cells.groupBy("cell").cogroup(guests.groupBy("cell")).applyInArrow(lambda p, c: _fit(p, c, dim, member), _FIT)
-        if not last:
-            local = staged(fits.where("rep is null").select(F.col("component").alias("local"), "total", "n"))
-            comp = local.select("local", F.col("local").alias("component")).distinct()
-    fits = fits.where("rep is not null")
-    best = fits.groupBy("rep").agg(F.max(F.struct("closeness", (-F.col("component")).alias("c"))).alias("m"))
+    # exact passes: every row against all centroids, on full vectors; the first gives truer
+    # centroids, of which those that now agree are one, and shows which rows none claims
+    rows = same.select("rep", F.least(F.lit(min_size), F.col("copies")).alias("w"), "unit")
+    comp = staged(_alike(comp, staged(_centres(local, comp)), dim, merge=merge))
+    first = staged(_closest(rows, _as_rows(_centres(local, comp)), dim, least=member))
+    far = first.join(_usual(first.where("other is not null"), "other", "cos", "w", spread), "other", "left")
+    rest = far.where("other is null or cos < floor").select("rep", "w", "unit")
+    local = staged(_sums(first.where("other is not null"), dim).unionByName(_left_over(rest, dim, min_size=min_size)))
+    comp = local.select("local", F.col("local").alias("component")).distinct()
+    comp = staged(_alike(comp, staged(_centres(local, comp)), dim, merge=again))
+    best = _closest(rows, _as_rows(_centres(local, comp)), dim, least=member).where("other is not null")
     best = best.join(same.select("rep", "copies"), "rep")
-    best = staged(best.select("rep", "copies", (-F.col("m.c")).alias("component"), F.col("m.closeness").alias("closeness")))
+    best = staged(best.select("rep", "copies", F.col("other").alias("component"), F.col("cos").alias("closeness")))
     # how far members usually are from their centroid, each key counted, also those of equal vectors
-    w, c = F.col("copies"), F.col("closeness")
-    usual = best.groupBy("component").agg((F.sum(w * c) / F.sum(w)).alias("mean"), (F.sum(w * c * c) / F.sum(w)).alias("square"))
-    usual = usual.select("component", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("sd"))
-    kept = best.join(usual, "component").where(F.col("closeness") >= F.col("mean") - F.greatest(3 * F.col("sd"), F.lit(spread)))
+    kept = best.join(_usual(best, "component", "closeness", "copies", spread), "component").where("closeness >= floor")
     named = kept.groupBy("component").agg(F.min("rep").alias("cluster"), F.sum("copies").alias("size")).where(F.col("size") >= min_size)
     kept = kept.join(named, "component").select("rep", "cluster", "closeness", "copies")
     alone = kept.where("copies = 1").select(F.col("rep").alias("ord"), "cluster", "closeness")
@@ -382,74 +363,156 @@ def _centres(local: DataFrame, comp: DataFrame) -> DataFrame:
     return c.select("component", F.expr("transform(c, e -> e.x / len)").alias("centre"), "n")
 
 
-def _alike(comp: DataFrame, centre: DataFrame, dim: int, *, merge: float, target: int, limit: int) -> DataFrame:
+def _usual(best: DataFrame, group: str, cos: str, weight: str, spread: float) -> DataFrame:
+    """``(group, floor)``: the cosine below which a row is farther than is usual for its centroid."""
+    w, c = F.col(weight), F.col(cos)
+    usual = best.groupBy(group).agg((F.sum(w * c) / F.sum(w)).alias("mean"), (F.sum(w * c * c) / F.sum(w)).alias("square"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean")))
+    return usual.select(group, (F.col("mean") - F.greatest(3 * sd, F.lit(spread))).alias("floor"))
+
+
+def _as_rows(centre: DataFrame) -> DataFrame:
+    return staged(centre.select(F.col("component").alias("rep"), F.col("n").alias("w"), F.col("centre").cast("array<float>").alias("unit")))
+
+
+def _alike(comp: DataFrame, centre: DataFrame, dim: int, *, merge: float) -> DataFrame:
     """``(local, component)`` after joining components whose centroids agree.
 
     Parts of one cluster that no core point ties together have centroids close to each
-    other. The centroids are divided into cells like the rows; each follows the
-    closest one of larger weight, so a small part between two clusters does not tie them.
+    other. Each centroid is set against all and follows the closest one of larger
+    weight, so a small part between two clusters does not tie them.
     """
-    rows = centre.select(F.col("component").alias("rep"), F.col("centre").cast("array<float>").alias("unit"))
-    n = rows.count()
-    if n < 2:
-        return comp
-
-    def link(group: pa.Table) -> pa.Table:
-        rep = np.asarray(group.column("rep"))
-        order = np.argsort(rep, kind="stable")
-        u, ids, weight = matrix(group.column("unit").combine_chunks(), dim)[order], rep[order], np.asarray(group.column("n"))[order]
-        up, close = np.full(len(ids), -1), np.full(len(ids), -2.0)
-        for i in range(0, len(u), BLOCK):
-            s = u[i : i + BLOCK] @ u.T
-            w, k = weight[i : i + BLOCK, None], np.arange(i, i + len(s))[:, None]
-            larger = (weight[None, :] > w) | ((weight[None, :] == w) & (np.arange(len(u))[None, :] < k))
-            s[~larger | (s < merge)] = -2
-            up[i : i + BLOCK], close[i : i + BLOCK] = s.argmax(1), s.max(1)
-        ok = close > -2
-        return pa.table({"a": ids[ok], "b": ids[up[ok]], "cos": close[ok]})
-
-    cells = Partition(rows, n, np.eye(dim, dtype=np.float32), target=target, limit=limit, overlap=4, margin=0.3).rows
-    cells = cells.join(centre.select(F.col("component").alias("rep"), "n"), "rep")
-    links = cells.groupBy("cell").applyInArrow(link, "a long, b long, cos double").groupBy("a").agg(F.max_by("b", F.struct("cos", -F.col("b"))).alias("b"))
+    rows = _as_rows(centre)
+    links = _closest(rows, rows, dim, least=merge, larger=True).where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     joined = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("low"))
     return comp.join(joined, "component", "left").select("local", F.coalesce("low", "component").alias("component"))
 
 
-_FIT = "rep long, component long, closeness double, total array<double>, n long"
-
-
-def _fit(points: pa.Table, centres: pa.Table, dim: int, member: float) -> pa.Table:
-    """The best centroid of a cell for each of its rows, if it is close enough; and, without
-    ``rep``, the sum and number of the rows of each centroid."""
-    rep, best, close, total, size = (np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros((0, dim)), np.zeros(0, np.int64))
-    ids = np.zeros(0, np.int64)
-    if len(points) and len(centres):
-        c, ids = matrix(centres.column("unit").combine_chunks(), dim), np.asarray(centres.column("rep"))
-        order = np.argsort(ids, kind="stable")
-        c, ids = c[order], ids[order]
-        u, rep = matrix(points.column("unit").combine_chunks(), dim), np.asarray(points.column("rep"))
-        best, close = np.empty(len(u), np.int64), np.empty(len(u))
-        step = max(1, (1 << 23) // len(c))
-        for i in range(0, len(u), step):
-            s = u[i : i + step] @ c.T
-            best[i : i + step], close[i : i + step] = s.argmax(1), s.max(1)
-        ok = close >= member
-        u, rep, best, close = u[ok], rep[ok], best[ok], close[ok]
-        total = np.zeros((len(c), dim))
-        np.add.at(total, best, u.astype(np.float64))
-        size = np.bincount(best, minlength=len(c))
-    live = np.nonzero(size)[0]
-    n, m = len(rep), len(live)
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(total[live].ravel(), pa.float64()), dim).cast(pa.list_(pa.float64()))
-    return pa.table(
-        {
-            "rep": pa.concat_arrays([pa.array(rep, pa.int64()), pa.nulls(m, pa.int64())]),
-            "component": pa.concat_arrays([pa.array(ids[best] if n else best, pa.int64()), pa.array(ids[live], pa.int64())]),
-            "closeness": pa.concat_arrays([pa.array(close, pa.float64()), pa.nulls(m, pa.float64())]),
-            "total": pa.concat_arrays([pa.nulls(n, pa.list_(pa.float64())), flat]),
-            "n": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(size[live].astype(np.int64))]),
-        }
-    )
+# --- exact passes: rows against all of a table, block by block --------------------------
+
+
+def _sent(rows: DataFrame, dim: int):
+    """Blocks of at most about SENT rows ``(rep, w, unit)``, each sent to all tasks, sorted by ``rep``."""
+    parts = max(1, -(-rows.count() // SENT))
+    for i in range(parts):
+        t = rows.where(F.pmod(F.xxhash64("rep"), F.lit(parts)) == i).select("rep", "w", "unit").toArrow()
+        rep = np.asarray(t.column("rep"), np.int64)
+        order = np.argsort(rep, kind="stable")
+        yield rows.sparkSession.sparkContext.broadcast((rep[order], np.asarray(t.column("w"), np.int64)[order], matrix(t.column("unit").combine_chunks(), dim)[order]))
+
+
+def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), kind), x.shape[1]).cast(pa.list_(kind))
+
+
+def _closest(rows: DataFrame, others: DataFrame, dim: int, *, least: float, larger: bool = False) -> DataFrame:
+    """``rows`` with ``other`` and ``cos``: the closest of all ``others``, null below ``least``.
+
+    Ties go to the smaller number; with ``larger`` only others of larger weight count (of
+    equal weight, those of smaller number).
+    """
+
+    def better(sent):
+        def run(batches):
+            ids, weight, c = sent.value
+            step = max(1, (1 << 22) // max(1, len(ids)))
+            for b in batches:
+                rep, w, u = np.asarray(b.column("rep")), np.asarray(b.column("w")), matrix(b.column("unit"), dim)
+                known = np.asarray(b.column("other").is_valid())
+                other, cos = np.asarray(b.column("other").fill_null(0)).copy(), np.asarray(b.column("cos")).copy()
+                for i in range(0, len(u) if len(ids) else 0, step):
+                    at = slice(i, i + step)
+                    s = u[at] @ c.T
+                    if larger:
+                        s[~((weight > w[at, None]) | ((weight == w[at, None]) & (ids < rep[at, None])))] = -2
+                    top = s.argmax(1)
+                    val, new = s[np.arange(len(s)), top].astype(np.float64), ids[top]
+                    win = (val >= least) & (~known[at] | (val > cos[at]) | ((val == cos[at]) & (new < other[at])))
+                    other[at], cos[at], known[at] = np.where(win, new, other[at]), np.where(win, val, cos[at]), known[at] | win
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("w"), b.column("unit"), pa.array(other, mask=~known), pa.array(cos)], ["rep", "w", "unit", "other", "cos"])
+
+        return run
+
+    out = rows.select("rep", F.col("w").cast("long").alias("w"), "unit", F.lit(None).cast("long").alias("other"), F.lit(-2.0).alias("cos"))
+    for sent in _sent(others, dim):
+        out = staged(out.mapInArrow(better(sent), "rep long, w long, unit array<float>, other long, cos double"))
+    return out
+
+
+def _sums(rows: DataFrame, dim: int) -> DataFrame:
+    """``(local, total, n)``: sums, in parts, of the rows ``(w, unit)`` of each ``other``."""
+
+    def add(batches):
+        for b in batches:
+            w = np.asarray(b.column("w"))
+            ids, inv = np.unique(np.asarray(b.column("other")), return_inverse=True)
+            total = np.zeros((len(ids), dim))
+            np.add.at(total, inv, matrix(b.column("unit"), dim).astype(np.float64) * w[:, None])
+            n = np.bincount(inv, w, minlength=len(ids)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(total, pa.float64()), pa.array(n)], ["local", "total", "n"])
+
+    return rows.select("w", "unit", "other").mapInArrow(add, "local long, total array<double>, n long")
+
+
+def _linked(rows: DataFrame, dim: int, link: float) -> DataFrame:
+    """``rows`` with ``near`` and ``sim``: the NEIGHBOURS closest of all other rows, best first.
+
+    A row of weight w counts w times, also as its own neighbour; beyond the last
+    neighbour of cosine ``link`` or more, ``sim`` is -2.
+    """
+    k = NEIGHBOURS
+
+    def better(sent):
+        def run(batches):
+            ids, weight, c = sent.value
+            ids, c = np.repeat(ids, weight), np.repeat(c, weight, axis=0)
+            step = max(1, (1 << 22) // max(1, len(ids)))
+            for b in batches:
+                rep, u = np.asarray(b.column("rep")), matrix(b.column("unit"), dim)
+                near = np.asarray(b.column("near").flatten()).reshape(-1, k).copy()
+                sim = np.asarray(b.column("sim").flatten()).reshape(-1, k).copy()
+                for i in range(0, len(u) if len(ids) else 0, step):
+                    s = u[i : i + step] @ c.T
+                    own = np.searchsorted(ids, rep[i : i + step])
+                    end = np.searchsorted(ids, rep[i : i + step], side="right")
+                    for r in np.nonzero(end > own)[0]:
+                        s[r, own[r] : end[r]] = -2
+                    some = np.nonzero(s.max(1) >= link)[0]
+                    s = s[some]
+                    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(ids) else np.tile(np.arange(len(ids)), (len(s), 1))
+                    val = np.take_along_axis(s, top, 1)
+                    val[val < link] = -2
+                    n, v = np.hstack([near[i + some], ids[top]]), np.hstack([sim[i + some], val])
+                    order = np.lexsort((n, -v), axis=1)[:, :k]
+                    near[i + some], sim[i + some] = np.take_along_axis(n, order, 1), np.take_along_axis(v, order, 1)
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("w"), b.column("unit"), _lists(near, pa.int64()), _lists(sim, pa.float32())], ["rep", "w", "unit", "near", "sim"])
+
+        return run
+
+    own = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.when(i < F.col("w"), F.lit(1.0)).otherwise(F.lit(-2.0)).cast("float"))
+    out = rows.select("rep", F.col("w").cast("long").alias("w"), "unit", F.array_repeat("rep", k).alias("near"), own.alias("sim"))
+    for sent in _sent(rows, dim):
+        out = staged(out.mapInArrow(better(sent), "rep long, w long, unit array<float>, near array<long>, sim array<float>"))
+    return out
+
+
+def _left_over(rest: DataFrame, dim: int, *, link: float = 0.5, min_points: int = 2, min_size: int = 3) -> DataFrame:
+    """``(local, total, n)`` of the trees, as in ``local_clusters``, of rows that met in no cell.
+
+    Every row ``(rep, w, unit)`` is set against all others. Numbers are negative, those
+    of the clusters of cells positive.
+    """
+    rest = staged(rest)
+    found = _linked(rest, dim, link).withColumn("rho", F.element_at("sim", min_points)).where(F.col("rho") >= link)
+    dense = found.select(F.col("rep").alias("near"), F.col("rho").alias("there"))
+    up = found.select("rep", "rho", F.explode(F.arrays_zip("near", "sim")).alias("e")).select("rep", "rho", "e.near", "e.sim").where((F.col("sim") >= link) & (F.col("near") != F.col("rep")))
+    up = up.join(dense, "near").where("there > rho or (there = rho and near < rep)")
+    up = up.groupBy("rep").agg(F.min(F.struct((-F.col("sim")).alias("s"), "near")).alias("m")).select(F.col("rep").alias("a"), F.col("m.near").alias("b"))
+    tree = connected_components(up).select(F.col("node").alias("rep"), "component")
+    tree = staged(found.select("rep", "w", "unit").join(tree, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    large = tree.groupBy("component").agg(F.sum("w").alias("size")).where(F.col("size") >= min_size)
+    large = staged(large.select("component", (-1 - F.monotonically_increasing_id()).alias("other")))
+    return _sums(tree.join(large, "component"), dim)
 
 
 def _joined(local: DataFrame, members: DataFrame, *, shared: float, merge: float) -> DataFrame:

@@ -85,3 +85,25 @@ def test_neighbours_of_a_block(monkeypatch):
     s = u @ u.T
     np.fill_diagonal(s, -2)
     assert np.allclose(sim, -np.sort(-s, 1)[:, :4], atol=1e-5) and (np.take_along_axis(s, idx, 1) - sim < 1e-5).all()
+
+
+def test_members_that_meet_in_no_cell_are_found(spark, monkeypatch):
+    # clusters of 4 among twice as many pivots, each row in one cell only: hardly any cell holds three members
+    monkeypatch.setattr(clusters, "SENT", 150)
+    x = np.linalg.qr(RNG.standard_normal((48, 48)))[0].repeat(4, 0) + 0.05 * RNG.standard_normal((192, 48))
+    got = {r.ord: r.cluster for r in similarity_clusters(frame(spark, x), dim=48, target=2, limit=200, overlap=1).collect()}
+    p, r = agreement(got, np.arange(192) // 4)
+    assert p > 0.97 and r > 0.97
+
+
+def test_closest_sees_all_centroids_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "SENT", 20)
+    u, c = clusters._normed(RNG.standard_normal((50, 8))), clusters._normed(RNG.standard_normal((90, 8)))
+    rows = lambda m: spark.createDataFrame([(i, 1 + i % 3, [float(v) for v in r]) for i, r in enumerate(m)], "rep long, w long, unit array<float>")
+    got = {r.rep: r.other for r in clusters._closest(rows(u), rows(c), 8, least=0.5).collect()}
+    s = u @ c.T
+    assert got == {i: int(s[i].argmax()) if s[i].max() >= 0.5 else None for i in range(50)}
+    near = {r.rep: r.near[: sum(v > 0 for v in r.sim)] for r in clusters._linked(rows(c), 8, 0.5).collect()}
+    t = c @ c.T
+    np.fill_diagonal(t, -2)
+    assert all(set(v) - {i} == set(np.nonzero(t[i] >= 0.5)[0]) and v.count(i) == i % 3 for i, v in near.items() if len(v) < clusters.NEIGHBOURS)
