@@ -4,7 +4,8 @@ A forest of random-projection trees is fitted on a bounded sample; every row is
 in one leaf of each tree. A query takes leaves from all trees in the order of one
 shared priority queue (least violation of the splits on the way), and the rows of
 those leaves are ranked by their exact cosine. Leaves meet their queries in a
-shuffle, so neither rows nor queries pass through the driver.
+shuffle, so neither rows nor queries pass through the driver. Equal vectors are one
+row of the search; of their keys, the smallest that can be asked for follow afterwards.
 """
 
 from __future__ import annotations
@@ -72,6 +73,8 @@ class Forest:
         return np.concatenate(keys, axis=1)
 
 
+# pairs whose exact cosines are made at once
+PAIRS = 1 << 17
 _HIT = "ord long, other long, cos double"
 
 
@@ -89,21 +92,24 @@ def _rank(points: pa.Table, asked: pa.Table, dim: int, k: int) -> pa.Table:
     step = max(1, (1 << 22) // len(u))
     for i in range(0, len(q), step):
         s = q[i : i + step] @ u.T
-        least = floor[i : i + step, None]
-        if (least > -2).all():
-            a, b = np.nonzero(s >= least - 1e-6)
-        else:
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(u) else np.tile(np.arange(len(u)), (len(s), 1))
-            val = np.take_along_axis(s, top, 1)
-            # rows tied with the worst of the best are kept too: the smaller key must win
-            tied = np.argwhere(s == val.min(1, keepdims=True))
-            a = np.concatenate([np.repeat(np.arange(len(s)), m), tied[:, 0]])
-            b = np.concatenate([top.ravel(), tied[:, 1]])
-            ok = s[a, b] >= least[a, 0] - 1e-6
-            a, b = a[ok], b[ok]
-        exact = np.einsum("ij,ij->i", q[i + a].astype(np.float64), u[b].astype(np.float64))
-        got.append((who[i + a], o[b], exact))
+        least = floor[i : i + step] - np.float32(1e-6)
+        many = np.nonzero(np.count_nonzero(s >= least[:, None], axis=1) > 4 * m)[0]
+        if len(many):
+            # what may tie with the worst of the best is kept too: the smaller key must win
+            worst = np.partition(s[many], len(u) - m, axis=1)[:, len(u) - m]
+            least[many] = np.maximum(least[many], worst - np.float32(1e-6))
+        a, b = np.nonzero(s >= least[:, None])
+        exact = np.empty(len(a))
+        for j in range(0, len(a), PAIRS):
+            at = slice(j, j + PAIRS)
+            exact[at] = np.einsum("ij,ij->i", q[i + a[at]].astype(np.float64), u[b[at]].astype(np.float64))
+        got.append(_first(who[i + a], o[b], exact, k))
     a, b, c = (np.concatenate(x) for x in zip(*got))
+    return pa.table({"ord": a, "other": b, "cos": c})
+
+
+def _first(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best other ``b`` of each ``a`` by ``c``, ties to the smaller key."""
     ok = a != b
     a, b, c = a[ok], b[ok], c[ok]
     order = np.lexsort((b, -c, a))
@@ -113,7 +119,7 @@ def _rank(points: pa.Table, asked: pa.Table, dim: int, k: int) -> pa.Table:
     start = np.r_[0, np.nonzero(a[1:] != a[:-1])[0] + 1] if len(a) else np.zeros(0, int)
     place = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)])) if len(a) else start
     keep = place < k
-    return pa.table({"ord": a[keep], "other": b[keep], "cos": c[keep]})
+    return a[keep], b[keep], c[keep]
 
 
 def nearest_neighbours(
@@ -141,7 +147,12 @@ def nearest_neighbours(
     columns are ignored. The trees are fitted on at most ``sample`` rows, but hold all;
     a leaf with more than ``block`` rows is searched in blocks, so none is cut short.
     """
-    v = staged(unit_vectors(df, dim, key, vec))
+    every = staged(unit_vectors(df, dim, key, vec))
+    # equal vectors are one row, under the smallest key; k + 1 keys are all that a query can need
+    w = Window.partitionBy("unit").orderBy("ord")
+    least = every.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    same = staged(least.groupBy("unit").agg(F.sort_array(F.collect_list("ord")).alias("keys")).select(F.element_at("keys", 1).alias("ord"), "unit", "keys"))
+    v = same.select("ord", "unit")
     spark = v.sparkSession
     n = v.count()
     if n == 0:
@@ -151,7 +162,12 @@ def nearest_neighbours(
     forest = Forest(matrix(drawn.column("unit").combine_chunks(), dim), trees, depth, seed)
     total = trees << depth
     sent = spark.sparkContext.broadcast(forest)
-    wanted = v if asked is None else v.join(asked.select(F.col(asked.columns[0]).alias("ord")).where("ord is not null").distinct(), "ord", "left_semi")
+    mine = every if asked is None else every.join(asked.select(F.col(asked.columns[0]).alias("ord")).where("ord is not null").distinct(), "ord", "left_semi")
+    # keys of equal vectors: the vector, spread over salts, finds its smallest key
+    salted = same.where("size(keys) > 1").select("unit", F.col("ord").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    mine = mine.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(16)).cast("int")).join(salted, ["unit", "salt"], "left")
+    mine = staged(mine.select("ord", F.coalesce("rep", "ord").alias("rep"), "salt"))
+    wanted = v if asked is None else staged(v.join(mine.select(F.col("rep").alias("ord")).distinct(), "ord", "left_semi"))
 
     def file(batches):
         for b in batches:
@@ -197,7 +213,16 @@ def nearest_neighbours(
     near = staged(_best(round_(trips.where("late < 0"), None), k))
     floors = near.where(F.col("rank") == k).select("ord", F.col("cos").alias("floor"))
     far = round_(trips.where("late >= 0"), floors)
-    return _best(near.select("ord", "other", "cos").unionByName(far), k)
+    found = _best(near.select("ord", "other", "cos").unionByName(far), k).select("ord", "other", "cos")
+    own = F.aggregate("unit", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    found = found.unionByName(wanted.select("ord", F.col("ord").alias("other"), own.alias("cos")))
+    found = found.join(same.select(F.col("ord").alias("other"), "keys"), "other").select("ord", F.explode("keys").alias("other"), "cos")
+    # one list for all keys of equal vectors, with one more than k since it may hold the key itself
+    lists = _best(found, k + 1).groupBy(F.col("ord").alias("rep")).agg(F.collect_list(F.struct((-F.col("cos")).alias("far"), "other")).alias("best"))
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    got = mine.join(lists, ["rep", "salt"]).withColumn("best", F.slice(F.sort_array(F.filter("best", lambda e: e["other"] != F.col("ord"))), 1, k))
+    got = got.select("ord", F.posexplode("best").alias("place", "e"))
+    return got.select("ord", F.col("e.other").alias("other"), (-F.col("e.far")).alias("cos"), (F.col("place") + 1).alias("rank"))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:

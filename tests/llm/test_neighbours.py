@@ -1,9 +1,12 @@
 """Problem 4 against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sparrowlens.llm.neighbours import Forest, nearest_neighbours, neighbour_pairs
+from sparrowlens.llm.neighbours import Forest, _rank, nearest_neighbours, neighbour_pairs
 
 RNG = np.random.default_rng(8)
 
@@ -63,3 +66,27 @@ def test_queue_prefers_the_own_leaf():
     u = RNG.standard_normal((20, 6)).astype(np.float32)
     keys, own = f.queue(u), f.leaves(u)
     assert (np.take_along_axis(keys, own, 1) == 0).all() and keys.shape == (20, 48)
+
+
+def test_a_third_of_all_rows_is_one_vector(spark):
+    x = RNG.standard_normal((300, 8))
+    x[::3] = x[0]
+    got = {}
+    for r in sorted(nearest_neighbours(frame(spark, x), dim=8, k=3, leaf=30, visits=10**6).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.ord, []).append(r.other)
+    assert len(got) == 300 and all(len(v) == 3 for v in got.values())
+    s = np.round((u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    for i, v in got.items():
+        assert np.allclose(s[i, v], np.sort(s[i])[::-1][:3], atol=1e-5)
+        assert i % 3 or v == [j for j in (0, 3, 6, 9) if j != i][:3]
+
+
+def test_ties_of_a_leaf_fit_in_memory():
+    u = pa.array([[1.0] + [0.0] * 63] * 8192, pa.list_(pa.float32()))
+    points, asked = pa.table({"ord": range(8192), "unit": u}), pa.table({"ord": range(9000, 9512), "unit": u[:512], "floor": pa.array([0.5] * 512, pa.float32())})
+    tracemalloc.start()
+    hits = _rank(points, asked, 64, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hits.column("other").to_pylist() == [0, 1, 2] * 512 and peak < 1 << 30
