@@ -305,7 +305,7 @@ def resampled(spark, d):
 @_query
 def sif_pool(spark, d):
     """Pooled vector of every chunk."""
-    return _pooled(spark, d).select("chunk_ord", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
+    return _pooled(spark, d).select("chunk_ord", F.transform("vec", lambda x: F.round(x, 5) + 0.0).alias("vec"))
 
 
 @_query
@@ -446,7 +446,7 @@ def raw_roundtrip(spark, d):
     folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
     path = os.path.join(folder, f"floats-{os.urandom(8).hex()}.bin")
     n = raw.write_floats(_emb(spark, d), path, "vec_id", "vec")
-    return raw.read_floats(spark, path, DIM, n).select(F.col("row").alias("vec_id"), F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+    return raw.read_floats(spark, path, DIM, n).select(F.col("row").alias("vec_id"), F.transform("vec", lambda x: F.round(x.cast("double"), 6) + 0.0).alias("vec"))
 
 
 @_query

@@ -138,7 +138,7 @@ ORACLE_SQL = {
     "report_lines": f"""with {_STORED}, {_QUANT.replace(_EMB + ', ', '').replace('vec_id', 'chunk_ord').replace('from emb', 'from stored')},
         back as (select chunk_ord, vec, [c * scale for c in codes] as b from coded)
         select chunk_ord, format('  {{:.5f}}  ', {_cos('vec', 'b')}) || chunk_ord as line from back""",
-    "raw_roundtrip": f"with {_EMB} select vec_id, [round(x, 6) for x in vec] as vec from emb",
+    "raw_roundtrip": f"with {_EMB} select vec_id, [round(x, 6) + 0.0 for x in vec] as vec from emb",
     "vocab_lookup": f"with {_CHUNK}, used as (select unnest(token_ids) as token_id from chunk), c as (select token_id, count(*) as n from used where token_id is not null group by 1) select c.token_id, coalesce(v.token, '') as token, n from c left join vocab v using (token_id)",
     "pretokenize_counts": f"with {_DOC}, w as (select doc_id, regexp_extract_all(lower(text), '{_PAT}') as w from doc where text is not null) select doc_id, len(w)::int as words, len(list_distinct(w))::int as distinct_words from w",
     "word_freq": f"with {_DOC}, {_WORDS} select word, count(*) as n from word group by 1",
@@ -162,7 +162,7 @@ ORACLE_SQL = {
         select item_id, start::int as start, len(ids)::int as n_tok, ids as token_ids, a as char_start, b as char_end, substring(text, a + 1, b - a) as chunk_text, concat_ws('#', doc_name, start) as chunk_id from w""",
     "csr_offsets": f"with {_CHUNK} select chunk_ord, coalesce(sum(len(token_ids)) over (order by chunk_ord rows between unbounded preceding and 1 preceding), 0)::bigint as offset, coalesce(len(token_ids), 0)::int as n from chunk",
     "resampled": "with e as (select vec_id, label, row_number() over (order by vec_id) - 1 as o, count(*) over () as n from embeddings), s as (select unnest(range((select count(*) from embeddings) * 7 // 2)) as sample_id) select sample_id, vec_id, label from s join e on o = sample_id % n",
-    "sif_pool": f"with {_POOLED} select chunk_ord, [round(x, 5) for x in vec] as vec from pooled",
+    "sif_pool": f"with {_POOLED} select chunk_ord, [round(x, 5) + 0.0 for x in vec] as vec from pooled",
     "pc_remove": f"with recursive {_POOLED}, {_AXIS} select chunk_ord, round(sqrt(list_dot_product(vec, vec)), 4) as norm from bare",
     "embed_search": f"""with recursive {_POOLED}, {_AXIS}, {_ASKED},
         q as (select list_transform(list_zip(qvec.v, axis.v), lambda p: p[1] - list_dot_product(qvec.v, axis.v) * p[2]) as vec from qvec, axis)

@@ -16,7 +16,7 @@ def plain(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return None
     if isinstance(x, float):
-        return round(x, 6) + 0.0
+        return round(x, 6)
     return [plain(y) for y in x] if isinstance(x, list | tuple) else x
 
 
