@@ -2,10 +2,11 @@
 
 A forest of random-projection trees is fitted on a bounded sample; every row is filed
 in one leaf of each tree. A query takes leaves from all trees in the order of one
-shared priority queue (least violation of the splits on the way), and the rows of
-those leaves are ranked by their exact cosine. Leaves meet their queries in a
-shuffle, so neither rows nor queries pass through the driver. Equal vectors are one
-row of the search; of their keys, the smallest that can be asked for follow afterwards.
+shared priority queue (least violation of the splits on the way) until the next leaf
+lies too far behind its splits for what the query has found, and the rows of those
+leaves are ranked by their exact cosine. Leaves meet their queries in a shuffle, so
+neither rows nor queries pass through the driver. Equal vectors are one row of the
+search; of their keys, the smallest that can be asked for follow afterwards.
 """
 
 from __future__ import annotations
@@ -44,51 +45,52 @@ class Forest:
                 self.axes[t, node], self.cuts[t, node] = axis, cut
                 held[2 * node + 1], held[2 * node + 2] = rows[along <= cut], rows[along > cut]
 
-    def leaves(self, u: np.ndarray) -> np.ndarray:
-        """Leaf number (over all trees) of each row in each tree: rows x trees."""
-        out = np.empty((len(u), self.trees), np.int32)
-        for t in range(self.trees):
-            side = u @ self.axes[t].T > self.cuts[t] if self.depth else np.zeros((len(u), 0), bool)
+    def leaves(self, u: np.ndarray, trees: int | None = None) -> np.ndarray:
+        """Leaf number (over all trees) of each row in each (of the first) tree(s): rows x trees."""
+        trees = self.trees if trees is None else trees
+        out = np.empty((len(u), trees), np.int32)
+        for t in range(trees):
             node = np.zeros(len(u), np.int64)
             for _ in range(self.depth):
-                node = 2 * node + 1 + side[np.arange(len(u)), node]
-            out[:, t] = t * (1 << self.depth) + node - ((1 << self.depth) - 1)
+                off = np.einsum("ij,ij->i", u, self.axes[t, node]) - self.cuts[t, node]
+                node = 2 * node + 1 + (off > 0)
+            out[:, t] = (t << self.depth) + node - ((1 << self.depth) - 1)
         return out
 
-    def queue(self, u: np.ndarray) -> np.ndarray:
-        """How late the shared queue of all trees would hand out each leaf: rows x leaves.
+    def within(self, u: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, leaf)`` of all leaves that the shared queue gives up to the key ``reach`` of each row.
 
-        The key of a node is the largest distance to a split on whose wrong side it lies;
-        popping the queue until it has given ``m`` leaves yields the ``m`` smallest keys.
+        The key of a node is the largest distance to a split on whose wrong side it lies,
+        so it never falls on the way down, and one child of a node has the key of its parent.
+        Nodes beyond the reach are not followed: what is left at the bottom is what the
+        queue would give if it were popped until its smallest key is beyond the reach.
         """
-        keys = []
-        for t in range(self.trees):
-            off = u @ self.axes[t].T - self.cuts[t]
-            key = np.zeros((len(u), 1), np.float32)
-            for level in range(self.depth):
-                at = off[:, (1 << level) - 1 : (1 << (level + 1)) - 1]
-                both = np.stack([np.maximum(key, at), np.maximum(key, -at)], axis=2)
-                key = np.maximum(both, 0).reshape(len(u), -1)
-            keys.append(key)
-        return np.concatenate(keys, axis=1)
+        row = np.repeat(np.arange(len(u)), self.trees)
+        tree, node = np.tile(np.arange(self.trees), len(u)), np.zeros(len(row), np.int64)
+        key = np.zeros(len(row), np.float32)
+        for _ in range(self.depth):
+            off = np.einsum("ij,ij->i", u[row], self.axes[tree, node]) - self.cuts[tree, node]
+            row, tree = np.repeat(row, 2), np.repeat(tree, 2)
+            node = (2 * node[:, None] + [1, 2]).ravel()
+            key = np.maximum(key[:, None], np.stack([off, -off], 1)).ravel()
+            keep = key <= reach[row]
+            row, tree, node, key = row[keep], tree[keep], node[keep], key[keep]
+        return row, ((tree << self.depth) + node - ((1 << self.depth) - 1)).astype(np.int32)
 
 
 # pairs whose exact cosines are made at once
 PAIRS = 1 << 17
 _HIT = "ord long, other long, cos double"
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _rank(points: pa.Table, asked: pa.Table, dim: int, k: int) -> pa.Table:
-    """Up to ``k`` best points of a leaf for each query there, above the query's floor."""
-    empty = pa.table({"ord": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
-    if not len(points) or not len(asked):
-        return empty
-    u, o = matrix(points.column("unit").combine_chunks(), dim), np.asarray(points.column("ord"))
-    order = np.argsort(o, kind="stable")
-    u, o = u[order], o[order]
-    q, who, floor = matrix(asked.column("unit").combine_chunks(), dim), np.asarray(asked.column("ord")), np.asarray(asked.column("floor"), np.float32)
-    m = min(k + 1, len(u))
+def _rank(points: tuple, asked: tuple, k: int) -> list[tuple]:
+    """Up to ``k`` best ``points (ord, unit)`` for each of ``asked (ord, unit, floor)``, above its floor."""
+    (o, u), (who, q, floor) = points, asked
     got: list[tuple] = []
+    if not len(o) or not len(who):
+        return got
+    m = min(k + 1, len(u))
     step = max(1, (1 << 22) // len(u))
     for i in range(0, len(q), step):
         s = q[i : i + step] @ u.T
@@ -104,8 +106,34 @@ def _rank(points: pa.Table, asked: pa.Table, dim: int, k: int) -> pa.Table:
             at = slice(j, j + PAIRS)
             exact[at] = np.einsum("ij,ij->i", q[i + a[at]].astype(np.float64), u[b[at]].astype(np.float64))
         got.append(_first(who[i + a], o[b], exact, k))
-    a, b, c = (np.concatenate(x) for x in zip(*got))
-    return pa.table({"ord": a, "other": b, "cos": c})
+    return got
+
+
+def _rank_group(points: pa.Table, asked: pa.Table, dim: int, k: int) -> pa.Table:
+    """The best points of a group of leaves for the queries that visit them.
+
+    ``points`` has ``ord``, ``leaf`` and ``unit``; ``asked`` has ``ord``, ``unit``, ``floor``
+    and the list ``leaves`` that the query visits here (null: all).
+    """
+    got: list[tuple] = []
+    if len(points) and len(asked):
+        u, o, leaf = matrix(points.column("unit").combine_chunks(), dim), np.asarray(points.column("ord")), np.asarray(points.column("leaf"))
+        order = np.lexsort((o, leaf))
+        u, o, leaf = u[order], o[order], leaf[order]
+        q, who, floor = matrix(asked.column("unit").combine_chunks(), dim), np.asarray(asked.column("ord")), np.asarray(asked.column("floor"), np.float32)
+        lists = asked.column("leaves").combine_chunks()
+        if lists.null_count:
+            got = _rank((o, u), (who, q, floor), k)
+        else:
+            n = np.diff(np.asarray(lists.offsets))
+            visited, row = np.asarray(lists.flatten()), np.repeat(np.arange(len(q)), n)
+            by = np.argsort(visited, kind="stable")
+            visited, row = visited[by], row[by]
+            for x in np.unique(visited):
+                p, r = slice(*np.searchsorted(leaf, (x, x + 1))), row[slice(*np.searchsorted(visited, (x, x + 1)))]
+                got += _rank((o[p], u[p]), (who[r], q[r], floor[r]), k)
+    a, b, c = _first(*(np.concatenate(x) for x in zip(*got)), k) if got else _NONE
+    return pa.table({"ord": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cos": pa.array(c, pa.float64())})
 
 
 def _first(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,6 +150,14 @@ def _first(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndar
     return a[keep], b[keep], c[keep]
 
 
+def _drawn(v: DataFrame, n: int, sample: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """At most ``sample`` rows by the hash of their key; rows beyond a bound of the hash are not sorted."""
+    h = F.xxhash64("ord", F.lit(seed))
+    few = v if n <= 2 * sample else v.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 2.0 * sample / n))))
+    t = few.orderBy(h, "ord").limit(sample).select("ord", "unit").toArrow()
+    return np.asarray(t.column("ord"), np.int64), t.column("unit").combine_chunks()
+
+
 def nearest_neighbours(
     df: DataFrame,
     asked: DataFrame | None = None,
@@ -130,11 +166,10 @@ def nearest_neighbours(
     vec: str = "vec",
     dim: int = 64,
     k: int = 8,
-    trees: int = 6,
+    trees: int = 8,
     leaf: int = 256,
-    max_depth: int = 9,
-    visits: int = 512,
-    sample: int = 16384,
+    reach: float = 0.1,
+    sample: int = 65536,
     block: int = 8192,
     seed: int = 0,
 ) -> DataFrame:
@@ -144,8 +179,11 @@ def nearest_neighbours(
     Keys with null, short, zero or non-finite vectors are neither cases nor neighbours;
     null keys and repeated rows are ignored; equal cosines rank the smaller key first;
     with fewer than ``k`` others there are fewer rows; an empty table gives none; other
-    columns are ignored. The trees are fitted on at most ``sample`` rows, but hold all;
-    a leaf with more than ``block`` rows is searched in blocks, so none is cut short.
+    columns are ignored. The trees are fitted on at most ``sample`` rows, but hold all, and
+    grow deeper with their number. A query visits every leaf whose key in the queue is at
+    most ``reach`` times the distance of the k-th best row among its own group of leaves
+    in two trees and a quarter of the sample; no number of leaves or rows is set. Groups
+    of leaves with more than ``block`` rows or queries are divided, so none is cut short.
     """
     every = staged(unit_vectors(df, dim, key, vec))
     # equal vectors are one row, under the smallest key; k + 1 keys are all that a query can need
@@ -157,11 +195,13 @@ def nearest_neighbours(
     n = v.count()
     if n == 0:
         return spark.createDataFrame([], _HIT + ", rank int")
-    depth = int(np.clip(np.ceil(np.log2(max(1, n / leaf))), 0, max_depth))
-    drawn = v.orderBy(F.xxhash64("ord", F.lit(seed)), "ord").limit(sample).select("unit").toArrow()
-    forest = Forest(matrix(drawn.column("unit").combine_chunks(), dim), trees, depth, seed)
-    total = trees << depth
-    sent = spark.sparkContext.broadcast(forest)
+    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+    names, drawn = _drawn(v, n, sample, seed)
+    drawn = matrix(drawn, dim)
+    # so many leaves of a tree, next to each other, make a group of about half a block
+    shift = int(np.clip(np.floor(np.log2(max(1.0, block / 2 * (1 << depth) / n))), 0, depth))
+    few = max(1, len(names) // 4)
+    sent = spark.sparkContext.broadcast((Forest(drawn, trees, depth, seed), names[:few], drawn[:few]))
     mine = every if asked is None else every.join(asked.select(F.col(asked.columns[0]).alias("ord")).where("ord is not null").distinct(), "ord", "left_semi")
     # keys of equal vectors: the vector, spread over salts, finds its smallest key
     salted = same.where("size(keys) > 1").select("unit", F.col("ord").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
@@ -169,51 +209,73 @@ def nearest_neighbours(
     mine = staged(mine.select("ord", F.coalesce("rep", "ord").alias("rep"), "salt"))
     wanted = v if asked is None else staged(v.join(mine.select(F.col("rep").alias("ord")).distinct(), "ord", "left_semi"))
 
-    def file(batches):
+    def leaves(batches):
         for b in batches:
-            u = matrix(b.column("unit"), dim)
-            if len(u):
-                at = sent.value.leaves(u)
-                for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([b.column("ord"), pa.array(at[:, t]), b.column("unit")], ["ord", "leaf", "unit"])
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                at = sent.value[0].leaves(matrix(part.column("unit"), dim))
+                yield pa.RecordBatch.from_arrays([part.column("ord"), part.column("unit"), pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), trees).cast(pa.list_(pa.int32()))], ["ord", "unit", "leaves"])
 
-    def visit(batches):
-        m = min(visits, total)
+    placed = staged(v.mapInArrow(leaves, "ord long, unit array<float>, leaves array<int>"))
+
+    def filed(first_trees: int) -> DataFrame:
+        """A row for each of the first trees; the lists are taken apart in the JVM."""
+        return placed.select("ord", "unit", F.explode(F.slice("leaves", 1, first_trees)).alias("leaf")).withColumn("grp", F.shiftright("leaf", shift))
+
+    def begin(batches):
+        """The query's own group in two trees, with the k-th best of the sample as its floor."""
+        forest, names, drawn = sent.value
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
                 u, ords = matrix(part.column("unit"), dim), np.asarray(part.column("ord"))
-                keys = sent.value.queue(u)
-                own = sent.value.leaves(u)
-                keys[np.arange(len(u))[:, None], own] = -1
-                go = np.argpartition(keys, m - 1, axis=1)[:, :m]
-                late = np.take_along_axis(keys, go, 1)
-                who = np.repeat(np.arange(len(u)), m)
-                yield pa.RecordBatch.from_arrays([pa.array(ords[who]), pa.array(go.ravel().astype(np.int32)), pa.array(late.ravel())], ["ord", "leaf", "late"])
-
-    filed = v.mapInArrow(file, "ord long, leaf int, unit array<float>")
-    sizes = {r["leaf"]: -(-r["count"] // block) for r in filed.groupBy("leaf").count().collect() if r["count"] > block}
-    if sizes:
-        blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in sizes.items() for x in p]), F.col("leaf")), F.lit(1))
-    else:
-        blocks = F.lit(1)
-    filed = filed.withColumn("block", F.pmod(F.xxhash64("ord"), blocks).cast("int"))
-    trips = staged(wanted.mapInArrow(visit, "ord long, leaf int, late float"))
-    trips = trips.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-
-    def round_(trips: DataFrame, floors: DataFrame | None) -> DataFrame:
-        q = trips.join(wanted, "ord")
-        q = q.join(floors, "ord", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))) if floors is not None else q.withColumn("floor", F.lit(-2.0))
-        # a leaf behind a split at distance d holds nothing closer than d: cosine 1 - d * d / 2 at most
-        q = q.where((F.col("late") < 0) | (1 - F.col("late") * F.col("late") / 2 >= F.col("floor") - 1e-5))
-        q = q.select("ord", "leaf", "block", "unit", F.col("floor").cast("float").alias("floor"))
-        return filed.groupBy("leaf", "block").cogroup(q.groupBy("leaf", "block")).applyInArrow(lambda p, a: _rank(p, a, dim, k), _HIT)
-
-    # the query's own leaf of each tree first: its k-th best there is a floor for the rest
-    near = staged(_best(round_(trips.where("late < 0"), None), k))
-    floors = near.where(F.col("rank") == k).select("ord", F.col("cos").alias("floor"))
-    far = round_(trips.where("late >= 0"), floors)
-    found = _best(near.select("ord", "other", "cos").unionByName(far), k).select("ord", "other", "cos")
+                s = u @ drawn.T
+                s[ords[:, None] == names[None, :]] = -2
+                floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(u), -2, np.float32)
+                own = forest.leaves(u, min(2, trees)) >> shift
+                for t in range(own.shape[1]):
+                    yield pa.RecordBatch.from_arrays([part.column("ord"), pa.array(own[:, t]), part.column("unit"), pa.array(floor), pa.nulls(len(u), pa.list_(pa.int32()))], ["ord", "grp", "unit", "floor", "leaves"])
+
+    def visit(batches):
+        """The groups that hold leaves within reach, with those leaves."""
+        forest = sent.value[0]
+        for b in batches:
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                u, floor = matrix(part.column("unit"), dim), np.asarray(part.column("floor"))
+                row, at = forest.within(u, (reach * np.sqrt(np.maximum(0, 2 - 2 * floor))).astype(np.float32))
+                order = np.lexsort((at, row))
+                row, at = row[order], at[order]
+                new = np.nonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] >> shift != at[:-1] >> shift)])[0]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(at)].astype(np.int32)), pa.array(at))
+                who = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([part.column("ord").take(who), pa.array(at[new] >> shift), part.column("unit").take(who), pa.array(floor[row[new]]), lists], ["ord", "grp", "unit", "floor", "leaves"])
+
+    trip = "ord long, grp int, unit array<float>, floor float, leaves array<int>"
+
+    def met(rows: DataFrame, trips: DataFrame) -> DataFrame:
+        """Hits of the groups; where a group has many rows or queries, every part of its rows meets every part of its queries."""
+        # one row per group that is too large; of different vectors a group holds about half a block
+        sizes = rows.groupBy("grp").count().where(F.col("count") > block).select("grp", F.ceil(F.col("count") / block).cast("int").alias("pb"))
+        loads = trips.groupBy("grp").count().where(F.col("count") > block).select("grp", F.ceil(F.col("count") / block).cast("int").alias("qb"))
+        parts = staged(sizes.join(loads, "grp", "full").select("grp", F.coalesce("pb", F.lit(1)).alias("pb"), F.coalesce("qb", F.lit(1)).alias("qb")))
+        own = lambda c: F.pmod(F.xxhash64("ord"), F.coalesce(c, F.lit(1))).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+        if parts.isEmpty():
+            rows, trips = (d.withColumns({"p": F.lit(0), "q": F.lit(0)}) for d in (rows, trips))
+        else:
+            rows = rows.join(parts, "grp", "left").withColumn("p", own(F.col("pb"))).withColumn("q", each(F.col("qb"))).drop("pb", "qb")
+            trips = trips.join(parts, "grp", "left").withColumn("q", own(F.col("qb"))).withColumn("p", each(F.col("pb"))).drop("pb", "qb")
+        return rows.groupBy("grp", "p", "q").cogroup(trips.groupBy("grp", "p", "q")).applyInArrow(lambda p, a: _rank_group(p, a, dim, k), _HIT)
+
+    first = staged(wanted.mapInArrow(begin, trip))
+    near = staged(_best(met(filed(min(2, trees)), first), k))
+    floors = near.where(F.col("rank") == k).select("ord", F.col("cos").cast("float").alias("seen"))
+    # the sample holds rows of the table, so its k-th best is a floor as good as that of the groups
+    known = first.select("ord", "floor").distinct().join(floors, "ord", "left")
+    wanted_now = wanted.join(known, "ord").select("ord", "unit", F.greatest("floor", F.coalesce("seen", F.lit(-2.0).cast("float"))).alias("floor"))
+    found = near.select("ord", "other", "cos").unionByName(met(filed(trees), staged(wanted_now.mapInArrow(visit, trip))))
+    found = _best(found, k).select("ord", "other", "cos")
     own = F.aggregate("unit", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     found = found.unionByName(wanted.select("ord", F.col("ord").alias("other"), own.alias("cos")))
     found = found.join(same.select(F.col("ord").alias("other"), "keys"), "other").select("ord", F.explode("keys").alias("other"), "cos")

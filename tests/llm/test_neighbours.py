@@ -3,7 +3,6 @@
 import tracemalloc
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from sparrowlens.llm.neighbours import Forest, _rank, nearest_neighbours, neighbour_pairs
@@ -27,7 +26,7 @@ def test_recall_of_the_forest(spark):
     want = brute(x, 8)
     d = frame(spark, x)
     got = {}
-    for r in nearest_neighbours(d, d.select("chunk_ord").where("chunk_ord % 50 = 0"), dim=16, leaf=32, visits=100).collect():
+    for r in nearest_neighbours(d, d.select("chunk_ord").where("chunk_ord % 50 = 0"), dim=16, leaf=32).collect():
         got.setdefault(r.ord, {})[r["rank"]] = r.other
     assert set(got) == set(range(0, 3000, 50)) and all(sorted(v) == list(range(1, 9)) for v in got.values())
     assert np.mean([len(set(v.values()) & set(want[i])) / 8 for i, v in got.items()]) > 0.95
@@ -39,7 +38,7 @@ def test_exact_when_all_leaves_are_visited(spark, block):
     x[10:14] = x[9]
     d = frame(spark, x).unionByName(frame(spark, x).limit(5))
     got = {}
-    for r in sorted(nearest_neighbours(d, dim=8, k=3, leaf=10, visits=10**6, block=block).collect(), key=lambda r: r["rank"]):
+    for r in sorted(nearest_neighbours(d, dim=8, k=3, leaf=10, reach=99, block=block).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.ord, []).append(r.other)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for i, v in got.items():
@@ -61,18 +60,47 @@ def test_invalid_rows_few_rows_and_pairs(spark):
     assert nearest_neighbours(d, asked.limit(0), dim=4).count() == 0
 
 
-def test_queue_prefers_the_own_leaf():
+def keys_of(f, u):
+    """The key of every leaf in the shared queue, by walking all of every tree: rows x leaves."""
+    out = []
+    for t in range(f.trees):
+        level = [(0, np.zeros(len(u), np.float32))]
+        for _ in range(f.depth):
+            below = []
+            for node, key in level:
+                off = u @ f.axes[t, node] - f.cuts[t, node]
+                below += [(2 * node + 1, np.maximum(key, off)), (2 * node + 2, np.maximum(key, -off))]
+            level = below
+        out += [key for _, key in level]
+    return np.array(out).T
+
+
+def test_the_queue_gives_all_leaves_within_reach():
     f = Forest(RNG.standard_normal((500, 6)).astype(np.float32), trees=3, depth=4)
     u = RNG.standard_normal((20, 6)).astype(np.float32)
-    keys, own = f.queue(u), f.leaves(u)
-    assert (np.take_along_axis(keys, own, 1) == 0).all() and keys.shape == (20, 48)
+    keys, own = keys_of(f, u), f.leaves(u)
+    assert keys.shape == (20, 48) and (np.take_along_axis(keys, own, 1) == 0).all() and (f.leaves(u, 2) == own[:, :2]).all()
+    reach = np.linspace(0, 2, 20).astype(np.float32) + 1e-3
+    row, leaf = f.within(u, reach)
+    assert sorted(zip(row.tolist(), leaf.tolist())) == sorted(map(tuple, np.argwhere(keys <= reach[:, None]).tolist()))
+
+
+@pytest.mark.parametrize("block", [64, 16])
+def test_groups_with_many_rows_or_queries_are_divided(spark, block):
+    x = RNG.standard_normal((400, 8))
+    d = frame(spark, x)
+    got = {}
+    for r in nearest_neighbours(d, dim=8, k=3, leaf=20, trees=3, reach=99, block=block).collect():
+        got.setdefault(r.ord, {})[r["rank"]] = r.other
+    want = brute(x, 3)
+    assert all([v[1], v[2], v[3]] == list(want[i]) for i, v in got.items()) and len(got) == 400
 
 
 def test_a_third_of_all_rows_is_one_vector(spark):
     x = RNG.standard_normal((300, 8))
     x[::3] = x[0]
     got = {}
-    for r in sorted(nearest_neighbours(frame(spark, x), dim=8, k=3, leaf=30, visits=10**6).collect(), key=lambda r: r["rank"]):
+    for r in sorted(nearest_neighbours(frame(spark, x), dim=8, k=3, leaf=30, reach=99).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.ord, []).append(r.other)
     assert len(got) == 300 and all(len(v) == 3 for v in got.values())
     s = np.round((u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T, 6)
@@ -83,10 +111,9 @@ def test_a_third_of_all_rows_is_one_vector(spark):
 
 
 def test_ties_of_a_leaf_fit_in_memory():
-    u = pa.array([[1.0] + [0.0] * 63] * 8192, pa.list_(pa.float32()))
-    points, asked = pa.table({"ord": range(8192), "unit": u}), pa.table({"ord": range(9000, 9512), "unit": u[:512], "floor": pa.array([0.5] * 512, pa.float32())})
+    u = np.tile(np.eye(1, 64, dtype=np.float32), (8192, 1))
     tracemalloc.start()
-    hits = _rank(points, asked, 64, 3)
+    hits = _rank((np.arange(8192), u), (np.arange(9000, 9512), u[:512], np.full(512, 0.5, np.float32)), 3)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert hits.column("other").to_pylist() == [0, 1, 2] * 512 and peak < 1 << 30
+    assert np.concatenate([h[1] for h in hits]).tolist() == [0, 1, 2] * 512 and peak < 1 << 30
