@@ -168,7 +168,7 @@ def nearest_neighbours(
     k: int = 8,
     trees: int = 8,
     leaf: int = 256,
-    reach: float = 0.1,
+    reach: float = 0.11,
     sample: int = 65536,
     block: int = 8192,
     seed: int = 0,
