@@ -1,6 +1,7 @@
 """Pooling, search, layout, clustering and orders against numpy."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparrowlens.operators import linear
@@ -9,7 +10,7 @@ from sparrowlens.operators.kmeans import kmeans
 from sparrowlens.operators.order import prefix_sum, resample, with_ordinal
 from sparrowlens.operators.pooling import _pool_joined, pool
 from sparrowlens.operators.search import search, search_one
-from sparrowlens.plans.components import connected_components
+from sparrowlens.plans.components import connected_components, tree_roots
 from sparrowlens.plans.indexing import without_axis
 
 RNG = np.random.default_rng(3)
@@ -120,6 +121,15 @@ def test_components(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+def test_roots_of_trees(spark):
+    parents = [(i, i - 1) for i in range(1, 40)] + [(100 + i, 7) for i in range(30)] + [(201, 200)]
+    got = {r.node: r.component for r in tree_roots(spark.createDataFrame(parents, "a long, b long")).collect()}
+    assert got == {a: 200 if a == 201 else 0 for a, _ in parents}
+    assert tree_roots(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError, match="cycle"):
+        tree_roots(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"), rounds=3)
+
+
 def test_checks(spark):
     a = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.8)], "query_id int, id int, score double")
     b = spark.createDataFrame([(0, 1, 0.85), (0, 3, 0.8)], "query_id int, id int, score double")
