@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.components import connected_components
+from ..plans.components import tree_roots
 from ..plans.staging import staged
-from .vectors import matrix, unit_vectors
+from .vectors import alone_and_equal, matrix, unit_vectors
 
-NEIGHBOURS = 32
 BLOCK = 1024
 # rows that all tasks hold at once in the exact passes
 SENT = 1 << 16
@@ -28,18 +27,40 @@ SENT = 1 << 16
 # --- inside one cell -----------------------------------------------------------------
 
 
-def _neighbours(u: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and cosines of the ``k`` nearest rows of each row, best first."""
+def _density(u: np.ndarray, k: int) -> np.ndarray:
+    """Cosine of the ``k``-th nearest other row of each row; -2 where there are fewer."""
     n = len(u)
-    idx, sim = np.empty((n, k), np.int32), np.empty((n, k), np.float32)
-    for i in range(0, n, BLOCK):
+    rho = np.full(n, -2, np.float32)
+    for i in range(0, n if n > k else 0, BLOCK):
         s = u[i : i + BLOCK] @ u.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        part = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(s), 1))[:, :k]
-        val = np.take_along_axis(s, part, 1)
-        order = np.argsort(-val, axis=1, kind="stable")
-        idx[i : i + BLOCK], sim[i : i + BLOCK] = np.take_along_axis(part, order, 1), np.take_along_axis(val, order, 1)
-    return idx, sim
+        row = np.arange(len(s))
+        s[row, row + i] = -2
+        rho[i : i + BLOCK] = _kth(s, k)
+    return rho
+
+
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th largest of each row; ``s`` is used up."""
+    row = np.arange(len(s))
+    for _ in range(k - 1):
+        s[row, s.argmax(1)] = -3
+    return s.max(1)
+
+
+def _followed(u: np.ndarray, rho: np.ndarray, link: float) -> np.ndarray:
+    """The nearest denser row of each row, or the row itself if none is within ``link``.
+
+    In the order of density every row before a row is denser (of equal ones the first is).
+    """
+    order = np.argsort(-rho, kind="stable")
+    v, up = u[order], np.arange(len(u))
+    for i in range(0, len(u), BLOCK):
+        s = v[i : i + BLOCK] @ v[: i + BLOCK].T
+        s[:, i:][np.triu_indices(len(s))] = -2
+        best = s.argmax(1)
+        near = np.nonzero(s[np.arange(len(s)), best] >= link)[0]
+        up[order[i + near]] = order[best[near]]
+    return up
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -81,40 +102,31 @@ def _assigned(u: np.ndarray, centres: np.ndarray, least: float, spread: float) -
     return np.where(ok & (sim >= (mean - slack)[best]), best, -1)
 
 
-def local_clusters(u: np.ndarray, *, link: float = 0.5, member: float = 0.6, merge: float = 0.75, spread: float = 0.05, min_points: int = 2, min_size: int = 3, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def local_clusters(u: np.ndarray, *, link: float = 0.5, member: float = 0.6, merge: float = 0.75, spread: float = 0.05, min_points: int = 2, min_size: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Labels (-1: none) and core flags of the unit rows of one cell.
 
     A row's density is the cosine of its ``min_points``-th neighbour; it follows its
     nearest denser neighbour, and the trees so made are local clusters. Trees whose
     centroids agree are one cluster; rows far from the centroid leave it, and what is
-    left is clustered again, which frees clusters that a bridge had tied to others.
+    left is clustered again by its own densities, which frees clusters that a bridge had
+    tied to others, until no more rows find a cluster.
     """
     n = len(u)
     label, core_ever = np.full(n, -1, np.int64), np.zeros(n, bool)
-    if n < min_size:
-        return label, core_ever
-    k = min(NEIGHBOURS, n - 1)
-    idx, sim = _neighbours(u, k)
-    centres, row, weight = np.zeros((0, u.shape[1]), np.float32), np.arange(n), np.zeros(0)
-    for _ in range(passes):
-        free = label < 0
-        if free.sum() < min_size:
-            break
-        near = -np.sort(-np.where(free[idx], sim, -2), axis=1)
-        rho = near[:, min(min_points, k) - 1]
-        core = free & (rho >= link)
-        core_ever |= core
-        denser = core[idx] & (sim >= link) & ((rho[idx] > rho[:, None]) | ((rho[idx] == rho[:, None]) & (idx < row[:, None])))
-        denser &= core[:, None]
-        parent, has = row.copy(), denser.any(1)
-        parent[has] = idx[has, np.argmax(denser[has], 1)]
-        tree = np.where(core, _roots(parent), -1)
-        _, inv = np.unique(tree[core], return_inverse=True)
-        if not len(inv):
+    centres, weight, before = np.zeros((0, u.shape[1]), np.float32), np.zeros(0), n + 1
+    while True:
+        free = np.nonzero(label < 0)[0]
+        if not min_size <= len(free) < before:
             break
+        before = len(free)
+        rho = _density(u[free], min_points)
+        core, rho = free[rho >= link], rho[rho >= link]
+        core_ever[core] = True
+        v = u[core]
+        _, inv = np.unique(_roots(_followed(v, rho, link)), return_inverse=True)
         count = np.bincount(inv)
         total = np.zeros((len(count), u.shape[1]))
-        np.add.at(total, inv, u[core])
+        np.add.at(total, inv, v)
         big = count >= min_size
         if not big.any():
             break
@@ -131,11 +143,7 @@ def local_clusters(u: np.ndarray, *, link: float = 0.5, member: float = 0.6, mer
             centres, weight = _normed(total[size >= min_size]), size[size >= min_size].astype(float)
             if not len(centres):
                 break
-        if not len(centres):
-            label[:] = -1
-            weight = np.zeros(0)
-            continue
-        label = _assigned(u, centres, member, spread)
+        label = _assigned(u, centres, member, spread) if len(centres) else np.full(n, -1, np.int64)
     if len(centres):
         size = np.bincount(label[label >= 0], minlength=len(centres))
         label = np.where((label >= 0) & (size[label] >= min_size), label, -1)
@@ -298,8 +306,9 @@ def similarity_clusters(
     n = v.count()
     if n == 0:
         return spark.createDataFrame([], "ord long, cluster long, closeness double")
-    same = v.groupBy("unit").agg(F.min("ord").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    same = staged(same)
+    alone, equal = alone_and_equal(v)
+    equal = equal.groupBy("unit").agg(F.min("ord").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    same = staged(alone.select("unit", F.col("ord").alias("rep"), F.lit(1).cast("long").alias("copies")).unionByName(equal))
     axes = _projection(same, dim, variance)
     points = same.select("rep", "unit", F.explode(F.sequence(F.lit(1), F.least(F.lit(min_size), F.col("copies")))).alias("i")).select("rep", "unit")
     cells = Partition(points, n, axes, target=target, limit=limit, overlap=overlap, margin=margin).rows
@@ -342,16 +351,19 @@ def similarity_clusters(
     local = staged(_sums(first.where("other is not null"), dim).unionByName(_left_over(rest, dim, min_size=min_size)))
     comp = local.select("local", F.col("local").alias("component")).distinct()
     comp = staged(_alike(comp, staged(_centres(local, comp)), dim, merge=again))
-    best = _closest(rows, _as_rows(_centres(local, comp)), dim, least=member).where("other is not null")
-    best = best.join(same.select("rep", "copies"), "rep")
-    best = staged(best.select("rep", "copies", F.col("other").alias("component"), F.col("cos").alias("closeness")))
+    all_rows = same.select("rep", F.col("copies").alias("w"), "unit")
+    best = staged(_closest(all_rows, _as_rows(_centres(local, comp)), dim, least=member).where("other is not null"))
     # how far members usually are from their centroid, each key counted, also those of equal vectors
-    kept = best.join(_usual(best, "component", "closeness", "copies", spread), "component").where("closeness >= floor")
-    named = kept.groupBy("component").agg(F.min("rep").alias("cluster"), F.sum("copies").alias("size")).where(F.col("size") >= min_size)
-    kept = kept.join(named, "component").select("rep", "cluster", "closeness", "copies")
-    alone = kept.where("copies = 1").select(F.col("rep").alias("ord"), "cluster", "closeness")
+    kept = best.join(_usual(best, "other", "cos", "w", spread), "other").where("cos >= floor")
+    named = kept.groupBy("other").agg(F.min("rep").alias("cluster"), F.sum("w").alias("size")).where(F.col("size") >= min_size)
+    kept = staged(kept.join(named, "other").select("rep", "w", "unit", F.col("cluster").alias("other")))
+    # typical is what is close to the centroid of the members there are now
+    final = staged(_sums(kept, dim))
+    kept = _to_own(kept, _as_rows(_centres(final, final.select("local", F.col("local").alias("component")).distinct())), dim)
+    kept = kept.select("rep", "w", "unit", F.col("other").alias("cluster"), F.col("cos").alias("closeness"))
+    alone = kept.where("w = 1").select(F.col("rep").alias("ord"), "cluster", "closeness")
     # keys of equal vectors: the vector, spread over salts, finds its cluster
-    salted = kept.where("copies > 1").join(same.select("rep", "unit"), "rep").select("unit", "cluster", "closeness", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    salted = kept.where("w > 1").select("unit", "cluster", "closeness", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     several = v.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(16)).cast("int")).join(salted, ["unit", "salt"]).select("ord", "cluster", "closeness")
     return alone.unionByName(several)
 
@@ -384,21 +396,21 @@ def _alike(comp: DataFrame, centre: DataFrame, dim: int, *, merge: float) -> Dat
     """
     rows = _as_rows(centre)
     links = _closest(rows, rows, dim, least=merge, larger=True).where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    joined = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("low"))
+    joined = tree_roots(links).select(F.col("node").alias("component"), F.col("component").alias("low"))
     return comp.join(joined, "component", "left").select("local", F.coalesce("low", "component").alias("component"))
 
 
 # --- exact passes: rows against all of a table, block by block --------------------------
 
 
-def _sent(rows: DataFrame, dim: int):
-    """Blocks of at most about SENT rows ``(rep, w, unit)``, each sent to all tasks, sorted by ``rep``."""
+def _sent(rows: DataFrame, dim: int, value: str = "w"):
+    """Blocks of at most about SENT rows ``(rep, value, unit)``, each sent to all tasks, sorted by ``rep``."""
     parts = max(1, -(-rows.count() // SENT))
     for i in range(parts):
-        t = rows.where(F.pmod(F.xxhash64("rep"), F.lit(parts)) == i).select("rep", "w", "unit").toArrow()
+        t = rows.where(F.pmod(F.xxhash64("rep"), F.lit(parts)) == i).select("rep", value, "unit").toArrow()
         rep = np.asarray(t.column("rep"), np.int64)
         order = np.argsort(rep, kind="stable")
-        yield rows.sparkSession.sparkContext.broadcast((rep[order], np.asarray(t.column("w"), np.int64)[order], matrix(t.column("unit").combine_chunks(), dim)[order]))
+        yield rows.sparkSession.sparkContext.broadcast((rep[order], np.asarray(t.column(value))[order], matrix(t.column("unit").combine_chunks(), dim)[order]))
 
 
 def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -454,46 +466,101 @@ def _sums(rows: DataFrame, dim: int) -> DataFrame:
     return rows.select("w", "unit", "other").mapInArrow(add, "local long, total array<double>, n long")
 
 
-def _linked(rows: DataFrame, dim: int, link: float) -> DataFrame:
-    """``rows`` with ``near`` and ``sim``: the NEIGHBOURS closest of all other rows, best first.
+def _to_own(rows: DataFrame, centre: DataFrame, dim: int) -> DataFrame:
+    """``rows`` with ``cos``: the cosine to the centroid whose number is in ``other``."""
 
-    A row of weight w counts w times, also as its own neighbour; beyond the last
-    neighbour of cosine ``link`` or more, ``sim`` is -2.
+    def own(sent):
+        def run(batches):
+            ids, _, c = sent.value
+            for b in batches:
+                other, cos = np.asarray(b.column("other")), np.asarray(b.column("cos")).copy()
+                at = np.minimum(np.searchsorted(ids, other), max(0, len(ids) - 1))
+                here = np.nonzero(ids[at] == other)[0] if len(ids) else np.zeros(0, int)
+                cos[here] = np.einsum("ij,ij->i", matrix(b.column("unit"), dim)[here].astype(np.float64), c[at[here]].astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("rep", "w", "unit", "other")), pa.array(cos)], ["rep", "w", "unit", "other", "cos"])
+
+        return run
+
+    out = rows.withColumn("cos", F.lit(-2.0))
+    for sent in _sent(centre, dim):
+        out = staged(out.mapInArrow(own(sent), "rep long, w long, unit array<float>, other long, cos double"))
+    return out
+
+
+def _densities(rows: DataFrame, dim: int, k: int) -> DataFrame:
+    """``rows`` with ``rho``: the cosine of the ``k``-th nearest other row, each counted by its weight.
+
+    The further copies of a row of weight 2 and more are neighbours of the first.
     """
-    k = NEIGHBOURS
+    kind = "rep long, w long, unit array<float>, top array<float>"
 
     def better(sent):
         def run(batches):
             ids, weight, c = sent.value
-            ids, c = np.repeat(ids, weight), np.repeat(c, weight, axis=0)
             step = max(1, (1 << 22) // max(1, len(ids)))
             for b in batches:
                 rep, u = np.asarray(b.column("rep")), matrix(b.column("unit"), dim)
-                near = np.asarray(b.column("near").flatten()).reshape(-1, k).copy()
-                sim = np.asarray(b.column("sim").flatten()).reshape(-1, k).copy()
+                top = np.asarray(b.column("top").flatten()).reshape(-1, k).copy()
                 for i in range(0, len(u) if len(ids) else 0, step):
                     s = u[i : i + step] @ c.T
-                    own = np.searchsorted(ids, rep[i : i + step])
-                    end = np.searchsorted(ids, rep[i : i + step], side="right")
-                    for r in np.nonzero(end > own)[0]:
-                        s[r, own[r] : end[r]] = -2
-                    some = np.nonzero(s.max(1) >= link)[0]
-                    s = s[some]
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(ids) else np.tile(np.arange(len(ids)), (len(s), 1))
-                    val = np.take_along_axis(s, top, 1)
-                    val[val < link] = -2
-                    n, v = np.hstack([near[i + some], ids[top]]), np.hstack([sim[i + some], val])
-                    order = np.lexsort((n, -v), axis=1)[:, :k]
-                    near[i + some], sim[i + some] = np.take_along_axis(n, order, 1), np.take_along_axis(v, order, 1)
-                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("w"), b.column("unit"), _lists(near, pa.int64()), _lists(sim, pa.float32())], ["rep", "w", "unit", "near", "sim"])
+                    _apart(s, ids, rep[i : i + step])
+                    row, found = np.arange(len(s)), [top[i : i + step]]
+                    for _ in range(min(k, s.shape[1])):
+                        best = s.argmax(1)
+                        # a row of weight w is w neighbours
+                        found.append(np.where(np.arange(k) < weight[best, None], s[row, best, None], -2))
+                        s[row, best] = -3
+                    top[i : i + step] = -np.sort(-np.hstack(found), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("w"), b.column("unit"), _lists(top, pa.float32())], ["rep", "w", "unit", "top"])
 
         return run
 
     own = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.when(i < F.col("w"), F.lit(1.0)).otherwise(F.lit(-2.0)).cast("float"))
-    out = rows.select("rep", F.col("w").cast("long").alias("w"), "unit", F.array_repeat("rep", k).alias("near"), own.alias("sim"))
+    out = rows.select("rep", F.col("w").cast("long").alias("w"), "unit", own.alias("top"))
     for sent in _sent(rows, dim):
-        out = staged(out.mapInArrow(better(sent), "rep long, w long, unit array<float>, near array<long>, sim array<float>"))
-    return out
+        out = staged(out.mapInArrow(better(sent), kind))
+    return out.select("rep", "w", "unit", F.element_at("top", k).alias("rho"))
+
+
+def _apart(s: np.ndarray, ids: np.ndarray, rep: np.ndarray) -> None:
+    """Takes each row out of its own neighbours."""
+    at = np.minimum(np.searchsorted(ids, rep), len(ids) - 1)
+    here = np.nonzero(ids[at] == rep)[0]
+    s[here, at[here]] = -2
+
+
+def _uphill(rows: DataFrame, dim: int, link: float) -> DataFrame:
+    """``(a, b)``: the nearest denser row ``b`` of each row ``a`` that has one within ``link``.
+
+    Of equal density the row of smaller number counts as denser; of equally near ones the
+    smaller number is followed.
+    """
+    kind = "rep long, unit array<float>, rho float, other long, cos double"
+
+    def better(sent):
+        def run(batches):
+            ids, rho, c = sent.value
+            step = max(1, (1 << 22) // max(1, len(ids)))
+            for b in batches:
+                rep, u, own = np.asarray(b.column("rep")), matrix(b.column("unit"), dim), np.asarray(b.column("rho"))
+                known = np.asarray(b.column("other").is_valid())
+                other, cos = np.asarray(b.column("other").fill_null(0)).copy(), np.asarray(b.column("cos")).copy()
+                for i in range(0, len(u) if len(ids) else 0, step):
+                    at = slice(i, i + step)
+                    s = u[at] @ c.T
+                    s[~((rho > own[at, None]) | ((rho == own[at, None]) & (ids < rep[at, None])))] = -2
+                    top = s.argmax(1)
+                    val, new = s[np.arange(len(s)), top].astype(np.float64), ids[top]
+                    win = (val >= link) & (~known[at] | (val > cos[at]) | ((val == cos[at]) & (new < other[at])))
+                    other[at], cos[at], known[at] = np.where(win, new, other[at]), np.where(win, val, cos[at]), known[at] | win
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("unit"), b.column("rho"), pa.array(other, mask=~known), pa.array(cos)], ["rep", "unit", "rho", "other", "cos"])
+
+        return run
+
+    out = rows.select("rep", "unit", "rho", F.lit(None).cast("long").alias("other"), F.lit(-2.0).alias("cos"))
+    for sent in _sent(rows, dim, "rho"):
+        out = staged(out.mapInArrow(better(sent), kind))
+    return out.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
 
 def _left_over(rest: DataFrame, dim: int, *, link: float = 0.5, min_points: int = 2, min_size: int = 3) -> DataFrame:
@@ -502,13 +569,8 @@ def _left_over(rest: DataFrame, dim: int, *, link: float = 0.5, min_points: int
     Every row ``(rep, w, unit)`` is set against all others. Numbers are negative, those
     of the clusters of cells positive.
     """
-    rest = staged(rest)
-    found = _linked(rest, dim, link).withColumn("rho", F.element_at("sim", min_points)).where(F.col("rho") >= link)
-    dense = found.select(F.col("rep").alias("near"), F.col("rho").alias("there"))
-    up = found.select("rep", "rho", F.explode(F.arrays_zip("near", "sim")).alias("e")).select("rep", "rho", "e.near", "e.sim").where((F.col("sim") >= link) & (F.col("near") != F.col("rep")))
-    up = up.join(dense, "near").where("there > rho or (there = rho and near < rep)")
-    up = up.groupBy("rep").agg(F.min(F.struct((-F.col("sim")).alias("s"), "near")).alias("m")).select(F.col("rep").alias("a"), F.col("m.near").alias("b"))
-    tree = connected_components(up).select(F.col("node").alias("rep"), "component")
+    found = staged(_densities(staged(rest), dim, min_points).where(F.col("rho") >= link))
+    tree = tree_roots(_uphill(found, dim, link)).select(F.col("node").alias("rep"), "component")
     tree = staged(found.select("rep", "w", "unit").join(tree, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     large = tree.groupBy("component").agg(F.sum("w").alias("size")).where(F.col("size") >= min_size)
     large = staged(large.select("component", (-1 - F.monotonically_increasing_id()).alias("other")))
@@ -538,7 +600,7 @@ def _joined(local: DataFrame, members: DataFrame, *, shared: float, merge: float
     larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     near = near.select(F.when(larger, F.col("b")).otherwise(F.col("a")).alias("a"), F.struct("cos", F.when(larger, F.col("a")).otherwise(F.col("b")).alias("b")).alias("up"))
     near = near.groupBy("a").agg(F.max("up").alias("up")).select("a", F.col("up.b").alias("b"))
-    comp = connected_components(near).select(F.col("node").alias("local"), "component")
+    comp = tree_roots(near).select(F.col("node").alias("local"), "component")
     return local.select("local").join(comp, "local", "left").select("local", F.coalesce("component", "local").alias("component"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
-from .vectors import matrix, unit_vectors
+from .vectors import alone_and_equal, matrix, unit_vectors
 
 
 class Forest:
@@ -187,9 +187,11 @@ def nearest_neighbours(
     """
     every = staged(unit_vectors(df, dim, key, vec))
     # equal vectors are one row, under the smallest key; k + 1 keys are all that a query can need
+    alone, equal = alone_and_equal(every)
     w = Window.partitionBy("unit").orderBy("ord")
-    least = every.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
-    same = staged(least.groupBy("unit").agg(F.sort_array(F.collect_list("ord")).alias("keys")).select(F.element_at("keys", 1).alias("ord"), "unit", "keys"))
+    least = equal.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    least = least.groupBy("unit").agg(F.sort_array(F.collect_list("ord")).alias("keys")).select(F.element_at("keys", 1).alias("ord"), "unit", "keys")
+    same = staged(alone.select("ord", "unit", F.array("ord").alias("keys")).unionByName(least))
     v = same.select("ord", "unit")
     spark = v.sparkSession
     n = v.count()

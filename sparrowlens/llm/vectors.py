@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 
 def _valid_units(batches, dim: int):
     """Arrow batches of valid vectors, scaled to length 1."""
@@ -21,6 +23,7 @@ def _valid_units(batches, dim: int):
         ok = np.isfinite(top) & (top > 0)
         x = x[ok] / top[ok, None]
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x += 0.0  # no negative zeros, so that equal vectors have equal hashes
         ords = b.column("ord").filter(pa.array(whole)).filter(pa.array(ok))
         yield pa.RecordBatch.from_arrays([ords, pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), dim).cast(pa.list_(pa.float32()))], ["ord", "unit"])
 
@@ -33,8 +36,24 @@ def unit_vectors(df: DataFrame, dim: int, key: str = "chunk_ord", vec: str = "ve
     several different valid vectors, the smallest (as an array) counts.
     """
     v = df.select(F.col(key).cast("long").alias("ord"), F.col(vec).cast("array<double>").alias("v")).where("ord is not null and v is not null")
-    units = v.mapInArrow(lambda batches: _valid_units(batches, dim), "ord long, unit array<float>")
-    return units.groupBy("ord").agg(F.min("unit").alias("unit"))
+    units = lambda d: d.mapInArrow(lambda batches: _valid_units(batches, dim), "ord long, unit array<float>")
+    # only keys are shuffled, and the vectors of those that repeat
+    again = staged(v.groupBy("ord").count().where("count > 1").select("ord"))
+    if again.isEmpty():
+        return units(v)
+    return units(v.join(again, "ord", "left_anti")).unionByName(units(v.join(again, "ord", "left_semi")).groupBy("ord").agg(F.min("unit").alias("unit")))
+
+
+def alone_and_equal(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(ord, unit)`` whose vector may be grouped away: those of a hash of their own, and the rest.
+
+    Only hashes are shuffled to tell them apart, so that a grouping by vector has but
+    the few rows that can be equal to sort.
+    """
+    h = F.xxhash64("unit")
+    again = staged(v.groupBy(h.alias("h")).count().where("count > 1").select("h"))
+    d = v.withColumn("h", h)
+    return d.join(again, "h", "left_anti").drop("h"), d.join(again, "h", "left_semi").drop("h")
 
 
 def matrix(column, dim: int) -> np.ndarray:

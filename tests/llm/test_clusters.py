@@ -78,13 +78,19 @@ def test_inseparable_rows_are_cut_by_hash_and_joined_again(spark):
     assert len(got) == 600 and len(set(got.values())) == 1
 
 
-def test_neighbours_of_a_block(monkeypatch):
+def test_density_and_the_row_followed(monkeypatch):
     monkeypatch.setattr(clusters, "BLOCK", 7)
-    u = RNG.standard_normal((30, 5)).astype(np.float32)
-    idx, sim = clusters._neighbours(u, 4)
+    u = clusters._normed(RNG.standard_normal((60, 3)))
     s = u @ u.T
     np.fill_diagonal(s, -2)
-    assert np.allclose(sim, -np.sort(-s, 1)[:, :4], atol=1e-5) and (np.take_along_axis(s, idx, 1) - sim < 1e-5).all()
+    rho = clusters._density(u, 2)
+    assert np.allclose(rho, -np.sort(-s, 1)[:, 1], atol=1e-6)
+    up = clusters._followed(u, rho, 0.5)
+    for i in range(60):
+        denser = np.nonzero((rho > rho[i]) | ((rho == rho[i]) & (np.arange(60) < i)))[0]
+        best = denser[s[i, denser].argmax()] if len(denser) else i
+        assert up[i] == best or (up[i] == i and s[i, best] < 0.5 + 1e-6) or abs(s[i, up[i]] - s[i, best]) < 1e-6
+    assert (clusters._density(u[:2], 2) == -2).all()
 
 
 def test_members_that_meet_in_no_cell_are_found(spark, monkeypatch):
@@ -103,7 +109,15 @@ def test_closest_sees_all_centroids_in_blocks(spark, monkeypatch):
     got = {r.rep: r.other for r in clusters._closest(rows(u), rows(c), 8, least=0.5).collect()}
     s = u @ c.T
     assert got == {i: int(s[i].argmax()) if s[i].max() >= 0.5 else None for i in range(50)}
-    near = {r.rep: r.near[: sum(v > 0 for v in r.sim)] for r in clusters._linked(rows(c), 8, 0.5).collect()}
     t = c @ c.T
     np.fill_diagonal(t, -2)
-    assert all(set(v) - {i} == set(np.nonzero(t[i] >= 0.5)[0]) and v.count(i) == i % 3 for i, v in near.items() if len(v) < clusters.NEIGHBOURS)
+    # weights 1, 2, 3 in turn: further copies are neighbours too
+    found = clusters._densities(rows(c), 8, 2)
+    rho = {r.rep: r.rho for r in found.collect()}
+    for i in range(90):
+        near = sorted([1.0] * (i % 3) + [t[i, j] for j in range(90) if j != i for _ in range(1 + j % 3)], reverse=True)
+        assert abs(rho[i] - near[1]) < 1e-5
+    up = {r.a: r.b for r in clusters._uphill(found, 8, 0.5).collect()}
+    for i in range(90):
+        denser = [j for j in range(90) if (rho[j], -j) > (rho[i], -i) and t[i, j] >= 0.5]
+        assert (i in up) == bool(denser) and (not denser or up[i] == max(denser, key=lambda j: t[i, j]))
