@@ -540,15 +540,25 @@ def _uphill(rows: DataFrame, dim: int, link: float) -> DataFrame:
     def better(sent):
         def run(batches):
             ids, rho, c = sent.value
+            order = np.lexsort((ids, -rho))
+            ids, fall, c = ids[order], -rho[order], c[order]
             step = max(1, (1 << 22) // max(1, len(ids)))
             for b in batches:
-                rep, u, own = np.asarray(b.column("rep")), matrix(b.column("unit"), dim), np.asarray(b.column("rho"))
+                # in the order of density the denser rows are a prefix, so only that is multiplied
+                b = b.take(pa.array(np.lexsort((np.asarray(b.column("rep")), -np.asarray(b.column("rho"))))))
+                rep, u, own = np.asarray(b.column("rep")), matrix(b.column("unit"), dim), -np.asarray(b.column("rho"))
                 known = np.asarray(b.column("other").is_valid())
                 other, cos = np.asarray(b.column("other").fill_null(0)).copy(), np.asarray(b.column("cos")).copy()
-                for i in range(0, len(u) if len(ids) else 0, step):
+                denser, ties = np.searchsorted(fall, own), np.searchsorted(fall, own, side="right")
+                for r in np.nonzero(ties > denser)[0]:
+                    denser[r] += np.searchsorted(ids[denser[r] : ties[r]], rep[r])
+                for i in range(0, len(u), step):
                     at = slice(i, i + step)
-                    s = u[at] @ c.T
-                    s[~((rho > own[at, None]) | ((rho == own[at, None]) & (ids < rep[at, None])))] = -2
+                    low, high = denser[at].min(), denser[at].max()
+                    if not high:
+                        continue
+                    s = u[at] @ c[:high].T
+                    s[:, low:][np.arange(low, high) >= denser[at, None]] = -2
                     top = s.argmax(1)
                     val, new = s[np.arange(len(s)), top].astype(np.float64), ids[top]
                     win = (val >= link) & (~known[at] | (val > cos[at]) | ((val == cos[at]) & (new < other[at])))
