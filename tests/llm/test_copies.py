@@ -3,7 +3,7 @@
 import pytest
 
 from sparrowlens.llm import copies as module
-from sparrowlens.llm.copies import collapsed, copies, fields, hashed_records, hashed_texts, merkle, normal
+from sparrowlens.llm.copies import collapsed, copies, hashed_records, hashed_texts, merkle, normal, record
 
 
 def found(spark, texts):
@@ -21,9 +21,33 @@ SAME = [
 
 
 def test_fields_in_every_notation():
-    assert len({merkle(fields(t)) for t in SAME}) == 1
-    assert fields("no list here") is None and fields("just: one") is None
-    assert fields('{"a": {"x": 1, "y": [1, 2]}, "b": null}') == [("a", "{x=1,y=[1,2]}"), ("b", "none")]
+    assert len({merkle(record(t)) for t in SAME}) == 1
+    assert record("no list here") is None and record("just: one") is None
+    nested = ("fields", (("a", ("fields", (("x", "150"), ("y", ("list", ("1", "2")))))), ("b", "null")))
+    assert record('{"a": {"x": 1.50, "y": [1, 2]}, "b": null}') == nested
+    assert merkle(record('{"a": 1, "b": 2} and more words')) != merkle(record('{"a": 1, "b": 2}'))
+
+
+def test_nested_records_are_unordered_at_every_depth():
+    same = ['{"a": {"x": 1, "y": {"p": "q r", "s": 2}}, "b": [1, 2]}', '{"B": [1, 2], "A": {"y": {"s": 2, "p": "Q-R"}, "x": 1}}']
+    assert len({merkle(record(t)) for t in same}) == 1
+    other = ['{"a": {"x": 1, "y": {"p": "q r", "s": 2}}, "b": [2, 1]}', '{"a": {"x": 1, "s": 2, "y": {"p": "q r"}}, "b": [1, 2]}', '{"a": 1, "a": 2}', '{"a": 2}']
+    assert len({merkle(record(t)) for t in [same[0], *other]}) == 5
+    assert merkle(record('{"a":1,"a":2}')) == merkle(record('{"a": 2, "a": 1}'))
+
+
+def test_names_of_any_length_but_no_times_or_links():
+    long = "a name of forty and more characters in nine words"
+    texts = [f"date of birth: x | {long}: y", f"{long} = Y\nDate of Birth = X"]
+    assert len({merkle(record(t)) for t in texts}) == 1 and record(texts[0])
+    assert record("we met at 10:22\nand left at 11:30") is None and record("see http://x.example\nand https://y.example") is None
+
+
+def test_a_text_of_two_readings_ties_both(spark):
+    assert found(spark, ["ab: c | d: e", "a: bc | d: e", "d: e | a: bc", "d: e | ab: c", "x: y | z: w"]) == {(0, 1), (0, 2), (0, 3)}
+    d = spark.createDataFrame([(i, t, tab) for tab in ("s", "t") for i, t in enumerate(["ab: c | d: e", "a: bc | d: e", "d: e | a: bc"])], "k long, t string, tab string")
+    rec = hashed_texts(d.where("tab = 's'"), "k", "t").selectExpr("*", "'s' tab").unionByName(hashed_texts(d.where("tab = 't' and k <> 1"), "k", "t").selectExpr("*", "'t' tab"))
+    assert {tuple(r) for r in copies(rec, ("tab",)).collect()} == {("s", 0, 1), ("s", 0, 2)}
 
 
 def test_lists_and_texts(spark):
