@@ -24,6 +24,22 @@ def test_counts_with_deep_radix(spark):
     assert term_frequencies(d.limit(0)).count() == 0
 
 
+def test_one_hot_term_ends(spark):
+    d = spark.range(0, 3000, 1, 30).selectExpr("id as chunk_ord", "if(id % 300 = 0, array(7, cast(id as int) + 100), array(7)) as token_ids")
+    # 30 tasks bring a count each of the one term, which no division can make fewer
+    got = {r.term: (r.occurrences, r.records) for r in term_frequencies(d, limit=5).collect()}
+    assert got.pop(7) == (3000, 3000) and got == {i + 100: (1, 1) for i in range(0, 3000, 300)}
+
+
+def test_tasks_spill_beyond_the_terms_they_hold(spark, monkeypatch):
+    from sparrowlens.llm import frequencies
+
+    monkeypatch.setattr(frequencies, "HELD", 50)
+    d = spark.range(0, 500, 1, 2).selectExpr("id as chunk_ord", "array(cast(id % 90 as int), cast(id as int)) as token_ids")
+    got = {r.term: r.occurrences for r in term_frequencies(d).collect()}
+    assert got == Counter([i % 90 for i in range(500)] + list(range(500)))
+
+
 @pytest.mark.parametrize("name", ["p3_found", "p3_terms"])
 def test_same_as_sql(spark, sf_dir, name):
     import duckdb
