@@ -4,6 +4,8 @@ High-recall generators propose overlapping spans (email, phone, id_number, addre
 name); boosted trees, fitted on a bounded sample with labels from strict formats and
 the table of given names, score each span by its format and its context; spans above
 the calibrated threshold of their kind are kept, and of overlapping ones the best.
+Words of a list are features and never take a span out; what endings of names and words
+before a span tell, and the thresholds, come from all documents.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -40,6 +44,7 @@ _PHONES = {
     "fr": r"0[1-9](?:[ .\-]?\d{2}){4}",
     "de": r"(?:\(0[1-9]\d{1,4}\)[ \-]?|0[1-9]\d{1,4}[ /\-])\d{3,8}(?:[ \-]\d{1,5})?",
     "es": r"[5-9]\d{2}(?:[ .\-]?\d{3}){2}|[5-9]\d{2}(?:[ \-]\d{2}){3}",
+    "local": r"[2-9]\d{2}[ .\-]\d{4}",
 }
 _IDS = {
     "us": r"\d{3}([ \-])\d{2}\1\d{4}",
@@ -86,17 +91,15 @@ _NAMES = [
     ("family_initial", re.compile(rf"(?<![\w.@\-])(?=(({_PLAIN}),{_SPACE}([{_UP}]\.)((?:{_SPACE}?[{_UP}]\.)*)))")),
 ]
 
-# Words that announce a kind of item, or that announce other numbers.
+# Words that announce a kind of item, titles, and words that announce other numbers.
 _CUES = {
     "phone": "tel telefon teléfono telephone téléphone phone call mobile handy móvil fax reached joignable erreichbar anrufen appeler llamar callback".split(),
-    "id_number": "ssn badge passport passeport id ausweisnummer ausweis documento dni nie identité identity identidad steuer nino insurance".split(),
-    "address": "anschrift address adresse dirección domicilio wohnt vive lives deliver near rue parcel colis mapa".split(),
-    "email": "mail email e-mail cc contact write escribir écrire schreiben typed".split(),
+    "id_number": "ssn passport passeport id ausweisnummer ausweis documento dni nie identité identity identidad steuer nino insurance".split(),
+    "address": "anschrift address adresse dirección domicilio wohnt vive lives deliver near rue".split(),
+    "email": "mail email e-mail cc contact write escribir écrire schreiben".split(),
 }
 _TITLES = frozenset("mr mrs ms miss dr prof sir herr frau hr fr mme mlle m monsieur madame sr sra srta don doña doctor doctora señor señora dra".split())
-_INTRO = frozenset("hi hello dear by to from met contact signed holder assignee thanks and par por von reported taken hallo hola bonjour cher chère querido estimado liebe lieber moved paid und et y".split())
-_NO_NAME = _TITLES | _INTRO
-_OTHER_NUMBERS = frozenset("order ticket build range checksum mark window coordinates version section chapter page invoice isbn serial issue revision commit row line size".split())
+_OTHER_NUMBERS = frozenset("order ticket build range version section chapter page invoice isbn serial issue revision commit row line size".split())
 
 
 @dataclass
@@ -130,35 +133,47 @@ def _islands(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(text: str, lex: Lexicon | None = None) -> list[Span]:
-    """All proposed spans; they overlap, and many are nothing.
-
-    With a lexicon, two capital words of which the second is a common word are not
-    proposed unless the first is a listed given name.
-    """
+def candidates(text: str) -> list[Span]:
+    """All proposed spans; they overlap, and many are nothing."""
     out = []
     if "@" in text or "＠" in text or _AT_SPELLED.search(text):
         for m in _EMAIL.finditer(text):
             tld = re.split(r"\W", m.group().rstrip())[-1]
             out.append(Span("email", *m.span(), "spelled" if _AT_SPELLED.search(m.group()) else "plain", tld.isalpha() and len(tld) > 1))
-    if _ANY_DIGITS.search(text):
-        strict = set()
-        islands = _islands(text)
-        for kind, table in (("phone", _PHONE_RES), ("id_number", _ID_RES)):
-            for shape, pattern in table:
-                for m in (m for a, b in islands for m in pattern.finditer(text, a, b)):
-                    digits = sum(map(str.isdigit, m.group()))
-                    if kind == "phone" and not 8 <= digits <= 20:
-                        continue
-                    out.append(Span(kind, *_trimmed(text, *m.span()), shape, True))
-                    strict.add(m.start())
-        for m in (m for a, b in islands for m in _NUMBER.finditer(text, a, b)):
-            if sum(map(str.isdigit, m.group())) >= 7 and m.start() not in strict:
-                start = m.start() + (m.group()[0] == "(" and ")" not in m.group())
-                if start not in strict:
-                    out += [Span(k, *_trimmed(text, start, m.end()), "run", False) for k in ("phone", "id_number")]
-        for pattern in _ADDRESS_RES:
-            out += [Span("address", *_trimmed(text, *m.span()), "street", True) for m in pattern.finditer(text)]
+    return out + numbers(text) + addresses(text) + names(text)
+
+
+def numbers(text: str) -> list[Span]:
+    """Phone and identity numbers by format, and runs of seven digits and more as either."""
+    out: list[Span] = []
+    if not _ANY_DIGITS.search(text):
+        return out
+    strict = set()
+    islands = _islands(text)
+    for kind, table in (("phone", _PHONE_RES), ("id_number", _ID_RES)):
+        for shape, pattern in table:
+            for m in (m for a, b in islands for m in pattern.finditer(text, a, b)):
+                if kind == "phone" and sum(map(str.isdigit, m.group())) < 7:
+                    continue
+                out.append(Span(kind, *_trimmed(text, *m.span()), shape, shape != "local"))
+                strict.add(m.start())
+    for m in (m for a, b in islands for m in _NUMBER.finditer(text, a, b)):
+        if sum(map(str.isdigit, m.group())) >= 7 and m.start() not in strict:
+            start = m.start() + (m.group()[0] == "(" and ")" not in m.group())
+            if start not in strict:
+                out += [Span(k, *_trimmed(text, start, m.end()), "run", False) for k in ("phone", "id_number")]
+    return out
+
+
+def addresses(text: str) -> list[Span]:
+    if not _ANY_DIGITS.search(text):
+        return []
+    return [Span("address", *_trimmed(text, *m.span()), "street", True) for pattern in _ADDRESS_RES for m in pattern.finditer(text)]
+
+
+def names(text: str) -> list[Span]:
+    """Two words with capitals, or an initial and one, in either order."""
+    out = []
     for shape, pattern in _NAMES:
         for m in pattern.finditer(text):
             if shape == "family_given":
@@ -169,10 +184,6 @@ def candidates(text: str, lex: Lexicon | None = None) -> list[Span]:
                 first, more, last = m.group(2), m.group(3), m.group(4)
                 if shape == "initial_family":
                     first, more = "", first + more
-            if first.lower() in _NO_NAME or last.lower() in _NO_NAME:
-                continue
-            if lex is not None and lex.known(last) and not lex.is_given(first):
-                continue
             out.append(Span("name", m.start(1), m.end(1), shape, False, first, last, more.count(".")))
     return out
 
@@ -182,18 +193,19 @@ def candidates(text: str, lex: Lexicon | None = None) -> list[Span]:
 _BEFORE = re.compile(r"[\w'’]+")
 FEATURES = [
     *(f"is_{k}" for k in KINDS), "chars", "digits", "letters", "groups", "strict", "plus", "spelled", "cue", "other_number", "opened", "closed",
-    "first_known", "last_known", "last_odds", "first_odds", "initials", "comma", "caps", "title", "intro", "street_after", "number_before", "hyphen", "line_start", "lone_initial", "phone_cue", "id_cue",
+    "first_known", "last_known", "last_odds", "initials", "comma", "caps", "title", "before_odds", "street_after", "number_before", "hyphen", "line_start", "lone_initial", "phone_cue", "id_cue",
+    "first_title", "last_title", "number_odds", "local", "first_before", "phrase",
 ]
+_AT = {f: i for i, f in enumerate(FEATURES)}
 
 
 @dataclass
 class Lexicon:
-    """Small tables that the tasks need: common words, given names, odds of name endings."""
+    """Small tables that the tasks need: common words, given names, odds of endings and of words before."""
 
     words: frozenset
     given: frozenset
-    ends: dict = field(default_factory=dict)
-    starts: dict = field(default_factory=dict)
+    odds: dict = field(default_factory=dict)
 
     def known(self, word: str) -> bool:
         if "-" in word or "'" in word or "’" in word:
@@ -204,23 +216,24 @@ class Lexicon:
         return any(p.lower() in self.given for p in word.split("-")) if word else False
 
     def family_odds(self, word: str) -> float:
-        parts = [p.lower() for p in word.split("-") if p]
-        return min((self.ends.get(p[-4:], self.ends.get(p[-3:], -1.0)) for p in parts), default=-1.0)
+        ends = [p.lower() for p in word.split("-") if p]
+        return min((self.odds.get("end " + p[-4:], self.odds.get("end " + p[-3:], -1.0)) for p in ends), default=-1.0)
+
 
-    def given_odds(self, word: str) -> float:
-        return self.starts.get(word.lower()[-2:], 0.0) if word else 0.0
+def _words_before(text: str, s: Span) -> list[str]:
+    return [w.lower() for w in _BEFORE.findall(text[max(0, s.start - 40) : s.start].rsplit("\n\n", 1)[-1])][-4:]
 
 
 def described(text: str, s: Span, lex: Lexicon) -> list[float]:
     """The features of one span, in the order of FEATURES."""
     piece = text[s.start : s.end]
     before = text[max(0, s.start - 40) : s.start]
-    words = [w.lower() for w in _BEFORE.findall(before.rsplit("\n\n", 1)[-1])][-4:]
+    words = _words_before(text, s)
     near = words[-1] if words else ""
     cues = {k: any(w in c for w in words) for k, c in _CUES.items()}
     after = text[s.end : s.end + 14]
     prior = before.rstrip(" ")[-1:]
-    name = s.kind == "name"
+    name, number = s.kind == "name", s.kind in ("phone", "id_number")
     known_first = float(lex.known(s.first)) if s.first else 0.0
     return [
         *(float(s.kind == k) for k in KINDS),
@@ -232,18 +245,17 @@ def described(text: str, s: Span, lex: Lexicon) -> list[float]:
         float(piece[:1] == "+" or piece[:2] in ("(+", "00")),
         float(s.shape == "spelled"),
         float(cues.get(s.kind, False)),
-        float(near in _OTHER_NUMBERS or (s.kind in ("phone", "id_number") and any(w in _OTHER_NUMBERS for w in words[-2:]))),
-        float(prior in "([{<«\"'"),
-        float(after[:1] in ")]}>»\"',.;:"),
+        float(near in _OTHER_NUMBERS or (number and any(w in _OTHER_NUMBERS for w in words[-2:]))),
+        float(bool(prior) and prior in "([{<«\"'"),
+        float(bool(after) and after[0] in ")]}>»\"',.;:"),
         known_first,
         float(lex.known(s.last)) if name else 0.0,
         lex.family_odds(s.last) if name else 0.0,
-        lex.given_odds(s.first) if name else 0.0,
         s.initials,
         float(s.shape in ("family_given", "family_initial")),
         float(name and piece.upper() == piece),
         float(near in _TITLES),
-        float(near in _INTRO),
+        lex.odds.get("name after " + near, 0.0) if name else 0.0,
         float(bool(_STREET_AFTER.match(after))),
         float(bool(re.search(r"\d\w?,? ?\Z", before))),
         float("-" in s.last),
@@ -251,29 +263,44 @@ def described(text: str, s: Span, lex: Lexicon) -> list[float]:
         float(name and not s.first),
         float(cues["phone"]),
         float(cues["id_number"]),
+        float(name and s.first.lower() in _TITLES),
+        float(name and s.last.lower() in _TITLES),
+        lex.odds.get("number after " + near, 0.0) if number else 0.0,
+        float(s.shape == "local"),
+        lex.odds.get("name after " + s.first.lower(), 0.0) if name and s.first else 0.0,
+        lex.odds.get(_pair(s), 0.0) if name and s.first else 0.0,
     ]
 
 
+def _pair(s: Span) -> str:
+    return f"pair {s.first} {s.last}".lower()
+
+
 def weak_label(s: Span, x: list[float], lex: Lexicon) -> int | None:
     """1, 0 or None (unknown): what strict formats and the given names say about a span."""
-    f = dict(zip(FEATURES, x))
+    f = lambda name: x[_AT[name]]
     if s.kind == "name":
-        if f["street_after"] or f["last_known"]:
+        given, other = lex.is_given(s.first), lex.is_given(s.last)
+        if f("first_title") or f("last_title") or f("street_after"):
+            return 0 if not given or f("last_title") else None
+        if not given and (other or f("first_before") > 1 or f("phrase") > 0):
+            # what often stands before a name is a greeting, what all texts repeat a set phrase
             return 0
-        if s.first and f["first_known"] and not lex.is_given(s.first):
-            return 0
-        if lex.is_given(s.last) and not lex.is_given(s.first):
-            return 0
-        if lex.is_given(s.first) and not f["number_before"]:
-            return 1
+        if given and not f("number_before"):
+            # a common word after a given name may be a family name; a title or greeting before tells
+            return 1 if not f("last_known") or f("title") or f("before_odds") > 1 else None
+        if s.first and f("first_known") and not given:
+            return None if f("title") else 0
         return None
-    if not s.strict:
+    if f("other_number") and not f("cue"):
         return 0
-    if f["other_number"] and not f["cue"]:
-        return 0
-    if s.kind == "phone" and f["id_cue"] and not f["phone_cue"] and s.shape in ("nanp_run", "es", "de"):
-        return None
-    return 1
+    if s.strict:
+        if s.kind == "phone" and f("id_cue") and not f("phone_cue") and s.shape in ("nanp_run", "es", "de"):
+            return None
+        return 1
+    if s.shape == "local" and f("phone_cue"):
+        return 1
+    return None if f("cue") else 0
 
 
 # --- boosted trees ---------------------------------------------------------------------
@@ -286,6 +313,8 @@ class Model:
     trees: list
     lexicon: Lexicon
     threshold: dict
+    # the trees were fitted on ids whose place by hash is below
+    bound: int = 0
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -329,112 +358,182 @@ def _lexicon(spark, vocab: DataFrame | None, given: DataFrame | None, limit: int
     return Lexicon(*sets)
 
 
-def fit(documents: DataFrame, vocab: DataFrame | None, given: DataFrame | None, *, sample: int = 4000, trees: int = 20, depth: int = 4, precision: float = 0.98) -> Model:
-    """Boosted trees on the spans of at most ``sample`` texts drawn by hash of their id.
+def _evidence(text: str, lex: Lexicon):
+    """``(key, yes)``: endings of names and words before spans, where the tables tell what a span is."""
+    for s in names(text):
+        if not s.first:
+            continue
+        given = lex.is_given(s.first)
+        yield _pair(s), given
+        if (given or lex.known(s.first)) and not lex.known(s.last):
+            for p in s.last.lower().split("-"):
+                if p:
+                    yield "end " + p[-4:], given
+                    if len(p) > 3:
+                        yield "end " + p[-3:], given
+            before = _words_before(text, s)
+            if before:
+                yield "name after " + before[-1], given
+    for s in numbers(text):
+        before = _words_before(text, s)
+        if before and s.shape != "local":
+            yield "number after " + before[-1], s.strict
+
+
+def _odds(documents: DataFrame, lex: Lexicon, limit: int) -> dict:
+    """Log odds of every ending and word seen three times and more, over all documents.
+
+    Of pairs of words in the place of a name, those in more than two of a thousand texts
+    are kept, with the logarithm of their number in a thousand; there cannot be many.
+    """
+    texts = documents.where("text is not null").count()
+    sent = documents.sparkSession.sparkContext.broadcast(lex)
+
+    def run(batches):
+        for b in batches:
+            count: dict = {}
+            for t in b.column("text").to_pylist():
+                for k, yes in _evidence(t, sent.value):
+                    c = count.setdefault(k, [0, 0])
+                    c[not yes] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *(pa.array([c[j] for c in count.values()], pa.int64()) for j in (0, 1))], ["k", "yes", "no"])
+
+    seen = documents.select("text").where("text is not null").mapInArrow(run, "k string, yes long, no long")
+    seen = seen.groupBy("k").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    least = F.when(F.col("k").startswith("pair "), F.lit(max(10.0, texts * 0.002))).otherwise(F.lit(3.0))
+    rows = seen.where(F.col("yes") + F.col("no") >= least).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} endings and words before names")
+    return {r.k: float(np.log(1000 * (r.yes + r.no) / texts) if r.k.startswith("pair ") else np.log((r.yes + 0.5) / (r.no + 0.5))) for r in rows}
+
+
+_PLACES = 1 << 30
+
+
+def _place(key: str = "doc_id"):
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(_PLACES))
+
+
+def trained(documents: DataFrame, vocab: DataFrame | None, given: DataFrame | None, *, sample: int = 2000, trees: int = 20, depth: int = 4, limit: int = 1_000_000) -> Model:
+    """Boosted trees on the spans of at most ``sample`` texts (at most half of all), drawn by hash of their id.
 
     Names are labelled by the table of given names but described without it, so that the
-    trees carry over to names that the table lacks. Half of the sample fits the trees,
-    half calibrates the threshold of each kind (most items right above wrong at ``precision``).
-    Without any span of both labels the thresholds alone decide, on formats.
+    trees carry over to names that the table lacks. Odds of endings and of words before a
+    span are counted over all documents (more than ``limit`` of them are refused). Without
+    any span of both labels the thresholds alone decide, on formats.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     spark = documents.sparkSession
     lex = _lexicon(spark, vocab, given)
-    drawn = documents.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
-    base = spark.sparkContext.broadcast(lex)
-
-    def named(batches):
-        for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                for s in candidates(t):
-                    if s.kind == "name" and s.first and not base.value.known(s.last):
-                        given = base.value.is_given(s.first)
-                        if given or base.value.known(s.first):
-                            rows.append((s.first, s.last, given))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.string(), pa.string(), pa.bool_()))], ["first", "last", "yes"])
-
-    # endings of family and given names, from spans with a listed given name against the rest
-    seen = drawn.repartition(8).mapInArrow(named, "first string, last string, yes boolean").collect()
-    for table, words in ((lex.ends, [(p.lower(), r.yes) for r in seen for p in r.last.split("-") if p]), (lex.starts, [(r.first.lower(), r.yes) for r in seen if r.first and not lex.known(r.first)])):
-        count: dict = {}
-        for w, yes in words:
-            for k in (w[-4:], w[-3:]) if table is lex.ends else (w[-2:],):
-                c = count.setdefault(k, [0, 0])
-                c[not yes] += 1
-        table.update({k: float(np.log((a + 0.5) / (b + 0.5))) for k, (a, b) in count.items() if a + b >= 3})
-    full = spark.sparkContext.broadcast(lex)
+    lex.odds = _odds(documents, lex, limit)
+    sent = spark.sparkContext.broadcast(lex)
+    texts = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
+    bound = int(_PLACES * min(0.5, 0.9 * sample / max(1, texts.count())))
 
     def described_rows(batches):
         for b in batches:
             rows = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for t in b.column("text").to_pylist():
                 for s in candidates(t):
-                    x = described(t, s, full.value)
-                    y = weak_label(s, x, full.value)
+                    x = described(t, s, sent.value)
+                    y = weak_label(s, x, sent.value)
                     if y is not None:
-                        rows.append((i, s.kind, float(y), x))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64())))], ["doc_id", "kind", "label", "x"])
-
-    spans = drawn.repartition(8).mapInArrow(described_rows, "doc_id long, kind string, label double, x array<double>")
-    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 1
-    train = spans.where(~held).select("label", array_to_vector("x").alias("features")).persist()
-    classes = {r[0] for r in train.select("label").distinct().collect()}
-    model = Model([], lex, dict.fromkeys(KINDS, 0.5))
-    if len(classes) == 2:
-        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxBins=64).fit(train)
+                        rows.append((float(y), x))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.float64(), pa.list_(pa.float64())))], ["label", "x"])
+
+    drawn = texts.where(_place() < bound).limit(sample).repartition(max(2, spark.sparkContext.defaultParallelism))
+    # the sample is small: few files, so that the many passes of the fit are few tasks
+    spans = staged(drawn.mapInArrow(described_rows, "label double, x array<double>").coalesce(2))
+    model = Model([], lex, dict.fromkeys(KINDS, 0.5), bound)
+    if spans.select("label").distinct().count() == 2:
+        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxBins=64).fit(spans.select("label", array_to_vector("x").alias("features")))
         model.trees = [_flat(t, w) for t, w in zip(fitted.trees, fitted.treeWeights)]
-    train.unpersist()
-    test = spans.where(held).collect()
-    for kind in KINDS:
-        mine = [r for r in test if r.kind == kind]
-        if model.trees and any(r.label for r in mine):
-            p = model.score(np.array([r.x for r in mine]))
-            y = np.array([r.label for r in mine])
-            order = np.argsort(-p, kind="stable")
-            right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-            gain = np.where(right >= precision, np.cumsum(2 * y[order] - 1), -np.inf)
-            if np.isfinite(gain.max()):
-                # the cut with most items right above wrong, halfway to the next lower score, but never above even odds
-                k = int(np.argmax(gain))
-                low = p[order][k + 1] if k + 1 < len(p) else 0.0
-                model.threshold[kind] = float(np.clip((p[order][k] + low) / 2, 0.05, 0.5))
     return model
 
 
-def chosen(texts: list[str | None], model: Model) -> list[list[tuple[int, int, str]]]:
-    """``(start, end, kind)`` of the items of each text, in order, without overlaps.
+_SPANS = "array<struct<start:int,end:int,kind:tinyint,strict:boolean,score:float,label:tinyint>>"
+
+
+def scored(documents: DataFrame, model: Model, *, key: str = "doc_id", keep_text: bool = False) -> DataFrame:
+    """``(k, spans)``, with ``keep_text`` also ``t``: every proposed span of every text with its score and weak label (-1: unknown)."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    kept = ["k", "t"] if keep_text else ["k"]
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int8()), ("strict", pa.bool_()), ("score", pa.float32()), ("label", pa.int8())])
+
+    def run(batches):
+        model = sent.value
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                texts = part.column("t").to_pylist()
+                own = [candidates(t) if t else [] for t in texts]
+                x = [described(t, s, model.lexicon) for t, spans in zip(texts, own) for s in spans]
+                flat = [s for spans in own for s in spans]
+                label = [-1 if y is None else y for y in (weak_label(s, r, model.lexicon) for s, r in zip(flat, x))]
+                p = (model.score(np.array(x)) if x else []) if model.trees else [float(y == 1) for y in label]
+                made = pa.StructArray.from_arrays(
+                    [pa.array(v, f.type) for v, f in zip(([s.start for s in flat], [s.end for s in flat], [KINDS.index(s.kind) for s in flat], [s.strict for s in flat], np.asarray(p, np.float32), label), kind)],
+                    fields=list(kind),
+                )
+                ends = np.r_[0, np.cumsum([len(spans) for spans in own])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), made)], [*kept, "spans"])
+
+    d = documents.select(F.col(key).alias("k"), F.col("text").alias("t"))
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    return d.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + f", spans {_SPANS}")
+
+
+def calibrated(model: Model, rows: DataFrame, *, precision: float = 0.98, bins: int = 1000) -> Model:
+    """``model`` with the threshold of each kind at which most labelled items right above wrong are kept.
 
-    The spans of all texts are scored at once.
+    Scores of all labelled spans of the texts that the trees were not fitted on are
+    counted in ``bins`` per kind and label; only these counts reach the driver.
     """
-    lex = model.lexicon
-    spans = [candidates(t, lex) if t else [] for t in texts]
-    x = [described(t, s, lex) for t, own in zip(texts, spans) for s in own]
-    if not x:
-        return [[] for _ in texts]
-    if model.trees:
-        p = model.score(np.array(x))
-    else:
-        p = np.array([float(weak_label(s, r, lex) == 1) for s, r in zip((s for own in spans for s in own), x)])
-    at, out = 0, []
-    for own in spans:
-        out.append(_apart(own, p[at : at + len(own)], model.threshold))
-        at += len(own)
-    return out
+    from dataclasses import replace
+
+    spans = rows.where(F.col("k").isNull() | (_place("k") >= model.bound)).select(F.explode("spans").alias("s")).where("s.label >= 0")
+    bin_ = F.least(F.floor(F.col("s.score") * bins), F.lit(bins - 1)).cast("int")
+    count = np.zeros((len(KINDS), 2, bins))
+    for r in spans.groupBy(F.col("s.kind").alias("kind"), F.col("s.label").alias("label"), bin_.alias("bin")).count().collect():
+        count[r.kind, r.label, r.bin] = r["count"]
+    found = dict(model.threshold)
+    for i, kind in enumerate(KINDS):
+        no, yes = count[i]
+        if model.trees and yes.any():
+            down = np.nonzero(yes + no)[0][::-1]
+            right, wrong = np.cumsum(yes[down]), np.cumsum(no[down])
+            gain = np.where(right >= precision * (right + wrong), right - wrong, -np.inf)
+            if np.isfinite(gain.max()):
+                # halfway to the next lower score, but never above even odds
+                j = int(np.argmax(gain))
+                low = (down[j + 1] + 1) / bins if j + 1 < len(down) else 0.0
+                found[kind] = float(np.clip((down[j] / bins + low) / 2, 0.05, 0.5))
+    return replace(model, threshold=found)
+
+
+def fit(documents: DataFrame, vocab: DataFrame | None, given: DataFrame | None, **options) -> Model:
+    """The model for ``documents``: trees as in ``trained``, thresholds as in ``calibrated``."""
+    model = trained(documents, vocab, given, **options)
+    return calibrated(model, scored(documents, model))
 
 
 _RANK = {"email": 3, "address": 2, "id_number": 1, "phone": 1, "name": 0}
 
 
-def _apart(spans: list[Span], p: np.ndarray, threshold: dict) -> list[tuple[int, int, str]]:
+def _apart(spans: list[dict], threshold: dict) -> list[tuple[int, int, str]]:
     """The best spans above their thresholds that do not overlap."""
-    good = [(_RANK[s.kind], s.strict, round(float(q), 2), s.end - s.start, -s.start, s) for s, q in zip(spans, p) if q >= threshold[s.kind]]
+    good = []
+    for s in spans:
+        kind = KINDS[s["kind"]]
+        if s["score"] >= threshold[kind]:
+            good.append((_RANK[kind], s["strict"], round(s["score"], 2), s["end"] - s["start"], -s["start"], s["end"], kind))
     taken: list[tuple[int, int, str]] = []
-    for *_, s in sorted(good, key=lambda g: g[:5], reverse=True):
-        if all(s.end <= a or s.start >= b for a, b, _ in taken):
-            taken.append((s.start, s.end, s.kind))
+    for *_, start, end, kind in sorted(good, reverse=True):
+        start = -start
+        if all(end <= a or start >= b for a, b, _ in taken):
+            taken.append((start, end, kind))
     return sorted(taken)
 
 
@@ -454,34 +553,34 @@ def personal_items(documents: DataFrame, model: Model, *, key: str = "doc_id") -
     none; repeated rows count once; other columns are ignored; texts of any length are
     read whole.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    return items_of(scored(documents.where("text is not null and text <> ''"), model, key=key), model)
+
+
+def items_of(rows: DataFrame, model: Model) -> DataFrame:
+    """The items of texts whose spans are ``scored``."""
+    threshold = model.threshold
 
     def run(batches):
         for b in batches:
-            rows = []
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                found = chosen(part.column("t").to_pylist(), sent.value)
-                rows += [(i, kind, a, e) for i, own in zip(part.column("k").to_pylist(), found) for a, e, kind in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["doc_id", "kind", "char_start", "char_end"])
+            out = [(i, kind, a, e) for i, own in zip(b.column("k").to_pylist(), b.column("spans").to_pylist()) for a, e, kind in _apart(own, threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["doc_id", "kind", "char_start", "char_end"])
 
-    d = documents.select(F.col(key).alias("k"), F.col("text").alias("t")).where("t is not null and t <> ''")
-    return d.mapInArrow(run, "doc_id long, kind string, char_start int, char_end int").distinct()
+    return rows.select("k", "spans").mapInArrow(run, "doc_id long, kind string, char_start int, char_end int").distinct()
 
 
 def redacted(documents: DataFrame, model: Model, *, key: str = "doc_id") -> DataFrame:
     """``(doc_id, items, text)``: every text with placeholders; null stays null, empty stays empty."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    return redacted_of(scored(documents, model, key=key, keep_text=True), model)
+
+
+def redacted_of(rows: DataFrame, model: Model) -> DataFrame:
+    """The redacted texts of rows whose spans are ``scored`` with their text."""
+    threshold = model.threshold
 
     def run(batches):
         for b in batches:
-            n, out = [], []
-            for at in range(0, b.num_rows, 512):
-                texts = b.column("t").slice(at, 512).to_pylist()
-                for t, found in zip(texts, chosen(texts, sent.value)):
-                    n.append(len(found))
-                    out.append(redacted_text(t, found) if t else t)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(n, pa.int32()), pa.array(out, pa.string())], ["doc_id", "items", "text"])
+            found = [_apart(own, threshold) for own in b.column("spans").to_pylist()]
+            out = [redacted_text(t, f) if t else t for t, f in zip(b.column("t").to_pylist(), found)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([len(f) for f in found], pa.int32()), pa.array(out, pa.string())], ["doc_id", "items", "text"])
 
-    d = documents.select(F.col(key).alias("k"), F.col("text").alias("t"))
-    return d.mapInArrow(run, "doc_id long, items int, text string")
+    return rows.select("k", "t", "spans").mapInArrow(run, "doc_id long, items int, text string")

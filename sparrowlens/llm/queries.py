@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import table
+from ..plans.staging import staged, table
 from .clusters import describe_clusters, pairs_within, similarity_clusters
 from .copies import collapsed, copies, hashed_records, hashed_texts
 from .encoding import encoded
@@ -13,7 +13,7 @@ from .frequencies import marked, term_frequencies
 from .mixture import mixture, shares
 from .neighbours import nearest_neighbours, neighbour_pairs
 from .pieces import cut_points, split_items
-from .privacy import fit, personal_items, redacted
+from .privacy import calibrated, items_of, redacted_of, scored, trained
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,21 +96,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-def _p8(spark: SparkSession, sf_dir: str):
+def _p8(spark: SparkSession, sf_dir: str, *, text: bool):
+    """Every span of every document with its score, and the model calibrated on them."""
     documents = table(spark, sf_dir, "documents")
-    return documents, fit(documents, table(spark, sf_dir, "vocab"), table(spark, sf_dir, "given_names"))
+    model = trained(documents, table(spark, sf_dir, "vocab"), table(spark, sf_dir, "given_names"))
+    rows = staged(scored(documents, model, keep_text=text))
+    return rows, calibrated(model, rows)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item of personal information."""
-    documents, model = _p8(spark, sf_dir)
-    return personal_items(documents, model).select("doc_id", "kind", "char_start")
+    return items_of(*_p8(spark, sf_dir, text=False)).select("doc_id", "kind", "char_start")
 
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with typed placeholders."""
-    documents, model = _p8(spark, sf_dir)
-    return redacted(documents, model)
+    return redacted_of(*_p8(spark, sf_dir, text=True))
 
 
 QUERIES = {

@@ -3,10 +3,10 @@
 import numpy as np
 import pytest
 
-from sparrowlens.llm.privacy import FEATURES, Lexicon, Model, candidates, described, fit, personal_items, redacted, redacted_text
+from sparrowlens.llm.privacy import FEATURES, Lexicon, Model, candidates, described, fit, personal_items, redacted, redacted_text, weak_label
 
 GIVEN = ["Alda", "Bruno", "Célie", "Dorte", "Enzo", "Freya"]
-COMMON = "the a call order met we house frau herr street for to from thanks write contact please meeting of and is was ticket number road hello".split()
+COMMON = "the a baker young stone call order met we house frau herr street for to from thanks write contact please meeting of and is was ticket number road hello".split()
 FAMILIES = ["Marholt", "Serholt", "Dunwick", "Velwick", "Torholt", "Pelwick", "Garholt", "Linwick"]
 ITEMS = {
     "email": ["a.b+c@mail.example.org", "jo_1 [at] post [dot] test", "x(at)y.example", "UP@CASE.TEST"],
@@ -50,6 +50,25 @@ def test_names_known_and_new(spark, model):
     assert (0, "Zerina Velwick") in got and not {i for i, _ in got} & {4, 5}
 
 
+def test_common_words_and_titles_are_proposed(model):
+    for text, name in (("We met Emma Baker today", "Emma Baker"), ("with Don Velwick there", "Don Velwick"), ("Alda Baker came", "Alda Baker"), ("reach 555-0147 now", "555-0147")):
+        assert any(text[s.start : s.end] == name for s in candidates(text))
+    lex = model.lexicon
+    label = lambda t: {t[s.start : s.end]: weak_label(s, described(t, s, lex), lex) for s in candidates(t)}
+    assert label("Dr. Alda Baker came")["Alda Baker"] == 1 and label("x Alda Baker came")["Alda Baker"] is None
+    assert label("met Dr Baker")["Dr Baker"] == 0 and label("the The House")["The House"] == 0
+
+
+def test_held_out_families_that_are_common_words(spark, model):
+    # neither the given names nor these families stood in the texts of the fit
+    people = [f"{g} {f}" for g in ("Emmo", "Torben", "Zerina", "Marla") for f in ("Baker", "Young", "Stone")]
+    texts = [f"Dr. {p} for the meeting." if i % 2 else f"We met {p} for the meeting." for i, p in enumerate(people)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, texts[r.doc_id][r.char_start : r.char_end]) for r in personal_items(d, model).where("kind = 'name'").collect()}
+    print("found", len(got & set(enumerate(people))), "of", len(people))
+    assert len(got & set(enumerate(people))) >= 6
+
+
 def test_other_numbers_stay(spark, model):
     text = "Order 00012345678. Range 100-200-3000. 192.0.2.14 at 10:22:31. ISBN 978-0-00-000000-2. 10000000000000000000000000001 @scope/x"
     assert personal_items(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).count() == 0
