@@ -27,7 +27,7 @@ def model(spark):
         name = (f"{GIVEN[i % 6]} {family}", f"{family}, {GIVEN[i % 6]}", f"{GIVEN[i % 6]} K. {family}")[i % 3]
         other = ("Order 00012345678", "Range 100-200-3000", "ISBN 978-0-00-000000-2", "at 192.0.2.14", "10000000000000000000000000001", "Build 20310415-0032")[i % 6]
         intro = ("We met ", "", "Dr. ", "Hello ")[i // 3 % 4]
-        texts.append(f"{intro}{name} for the meeting. Contact: {item} thanks. {other} of The {rng.choice(['Krendall', 'Obsidian', 'Quarry'])} House. Ticket {other.split()[-1]}")
+        texts.append(f"{intro}{name}{', who came' if i % 5 == 0 else ''} for the meeting. Contact: {item} thanks. {other} of The {rng.choice(['Krendall', 'Obsidian', 'Quarry'])} House. Ticket {other.split()[-1]}")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     vocab = spark.createDataFrame([(w,) for w in COMMON], "token string")
     given = spark.createDataFrame([(g,) for g in GIVEN], "given_name string")
