@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
 from .order import with_ordinal
 
 
@@ -25,9 +26,10 @@ def kmeans(df: DataFrame, dim: int, k: int, *, key: str, vec: str = "vec", round
 
     Seeds are the rows at ``min(c * (n // k), n - 1)`` in the order of ``key``; an empty
     cluster keeps its centre; k is held within 1..n. Each round is one pass in which a
-    task brings k sums; rows stay where they are. Rows without a full vector are left out.
+    task makes k sums, which are added up before they reach the driver; rows stay where
+    they are. Rows without a full vector are left out.
     """
-    d = df.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v")).where(F.col("key").isNotNull() & (F.size("v") == dim))
+    d = staged(df.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v")).where(F.col("key").isNotNull() & (F.size("v") == dim)))
     n = d.count()
     kind = f"key {df.schema[key].dataType.simpleString()}, cluster int"
     if n == 0:
@@ -45,15 +47,17 @@ def kmeans(df: DataFrame, dim: int, k: int, *, key: str, vec: str = "vec", round
                 best = _nearest(x, centres)
                 np.add.at(total, best, x)
                 count += np.bincount(best, minlength=k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(count)], ["c", "s", "n"])
+            full = np.hstack([total, count[:, None]])
+            c, i = np.indices(full.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(i.ravel()), pa.array(full.ravel())], ["c", "i", "s"])
 
         return run
 
     for _ in range(rounds - 1):
-        total, count = np.zeros((k, dim)), np.zeros(k)
-        for r in d.select("v").mapInArrow(sums(centres), "c long, s array<double>, n double").collect():
-            total[r.c] += r.s
-            count[r.c] += r.n
+        both = np.zeros((k, dim + 1))
+        for r in d.select("v").mapInArrow(sums(centres), "c long, i long, s double").groupBy("c", "i").agg(F.sum("s").alias("s")).collect():
+            both[r.c, r.i] = r.s
+        total, count = both[:, :dim], both[:, dim]
         full = count > 0
         centres = centres.copy()
         centres[full] = total[full] / count[full][:, None]

@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 
 def prefix_sum(df: DataFrame, order: list[str], value: str, into: str = "before") -> DataFrame:
     """Adds ``into``: the sum of ``value`` over all rows before this one in ``order``.
 
-    Rows are divided into ranges of the order; only the sum of each range goes to the
-    driver. ``order`` must be unique for a defined result; null values count as 0.
+    Rows are divided into ranges of the order and written with the number of their range;
+    only the sum of each range goes to the driver. ``order`` must be unique for a defined
+    result; null values count as 0.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    # the ranges must be the same in both passes, so they are cut by value, not by task
-    bounds = ranged.groupBy("_range").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("s"), F.min(F.struct(*order)).alias("low")).orderBy("low").collect()
-    if not bounds:
+    ranged = staged(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    number = F.coalesce(F.col(value), F.lit(0))
+    sums = {r["_range"]: r.s for r in ranged.groupBy("_range").agg(F.sum(number).alias("s")).collect()}
+    if not sums:
         return df.withColumn(into, F.lit(0).cast("long"))
-    lows = F.array(*[F.struct(*[F.lit(r.low[c]).alias(c) for c in order]) for r in bounds[1:]]) if len(bounds) > 1 else F.array()
-    sums, total = [], 0
-    for r in bounds:
-        sums.append(total)
-        total += r.s
-    at = F.size(F.filter(lows, lambda x: x <= F.struct(*order))) if len(bounds) > 1 else F.lit(0)
-    base = F.element_at(F.array(*[F.lit(s) for s in sums]), at + 1)
-    cut = df.withColumn("_range", at)
+    before, total = [], 0
+    for i in range(max(sums) + 1):
+        before.append(total)
+        total += sums.get(i, 0)
+    base = F.element_at(F.array(*[F.lit(s) for s in before]), F.col("_range") + 1)
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    run = F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(w), F.lit(0))
-    return cut.withColumn(into, (base + run).cast("long")).drop("_range")
+    return ranged.withColumn(into, (base + F.coalesce(F.sum(number).over(w), F.lit(0))).cast("long")).drop("_range")
 
 
 def with_ordinal(df: DataFrame, order: list[str], into: str = "ord") -> DataFrame:

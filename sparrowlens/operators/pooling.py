@@ -8,30 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_MODEL_BYTES = 512 << 20
+# the driver holds the rows as they come, as doubles, and in order: about four times the doubles
+MAX_MODEL_BYTES = 256 << 20
 
 
 def token_matrix(emb: DataFrame, dim: int, limit: int = MAX_MODEL_BYTES) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sorted token ids and weight * vector rows with the weight last; None above ``limit`` bytes."""
-    rows = emb.agg(F.count(F.lit(1))).first()[0]
-    if rows * (dim + 1) * 4 > limit:
+    """Sorted token ids and weight * vector rows with the weight last; None where making them takes above ``limit`` bytes."""
+    rows = emb.count()
+    if rows * (dim + 1) * 8 * 4 > limit:
         return None
     t = emb.select("token_id", F.col("vec").cast("array<float>").alias("vec"), F.col("sif").cast("double").alias("sif")).where("sif > 0 and vec is not null").toArrow()
     ids = np.asarray(t.column("token_id").combine_chunks(), np.int64)
     vec = np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(-1, dim)
     w = np.asarray(t.column("sif").combine_chunks(), np.float64)
     order = np.argsort(ids, kind="stable")
-    return ids[order], np.hstack([vec * w[:, None], w[:, None]])[order].astype(np.float64)
+    return ids[order], np.hstack([vec * w[:, None], w[:, None]])[order]
 
 
-def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord", tokens: str = "token_ids", keep: bool = False) -> DataFrame:
+def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord", tokens: str = "token_ids", keep: bool = False, held: tuple | None = None) -> DataFrame:
     """``(key, vec)``, or with ``keep`` all columns and ``vec``: sum of weight * vector over sum of weights of the tokens of each row.
 
     ``emb`` has ``token_id``, ``vec`` and ``sif``. Ids without a row or with weight 0 do
     not count; a row with no weight (or no tokens) gets a zero vector. The token table
-    travels with the tasks while it is below MAX_MODEL_BYTES; above, tokens are joined.
+    travels with the tasks while making it takes at most MAX_MODEL_BYTES; above, tokens are
+    joined. ``held`` is a ``token_matrix`` of ``emb`` that is there already.
     """
-    held = token_matrix(emb, dim)
+    held = token_matrix(emb, dim) if held is None else held
     picked = chunks.select(F.col(key).alias("key"), F.col(tokens).alias("tokens"))
     if held is None:
         pooled = _pool_joined(picked, emb, dim).withColumnRenamed("key", key)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE, OVERLAP = 128, 32
 
@@ -25,24 +27,28 @@ def windows(tokens: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, text
 
     Needs ``token_ids``, ``tok_start``, ``tok_end`` and the text. The characters of a
     window run from its first to its last token. Empty or null streams give no window.
+    All windows of a row are cut in one pass over it, so that the text is not copied for each.
     """
-    rest = [c for c in tokens.columns if c not in {"token_ids", "tok_start", "tok_end", text}]
-    w = tokens.withColumn("start", F.explode(window_starts(F.size("token_ids"), size, overlap)))
-    w = w.select(
-        *rest,
-        "start",
-        F.slice("token_ids", F.col("start") + 1, size).alias("token_ids"),
-        F.element_at("tok_start", F.col("start") + 1).alias("char_start"),
-        F.element_at("tok_end", F.least(F.col("start") + size, F.size("tok_end"))).alias("char_end"),
-        text,
-    )
-    return w.select(
-        *rest,
-        "start",
-        F.size("token_ids").alias("n_tok"),
-        "token_ids",
-        "char_start",
-        "char_end",
-        F.substring(F.col(text), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("chunk_text"),
-        F.concat_ws("#", F.col(name), F.col("start")).alias("chunk_id"),
-    )
+    new = {"start", "n_tok", "char_start", "char_end", "chunk_text", "chunk_id"}
+    rest = [f for f in tokens.schema.fields if f.name not in {"token_ids", "tok_start", "tok_end", text} | new]
+    kinds = [("start", T.IntegerType()), ("n_tok", T.IntegerType()), ("token_ids", T.ArrayType(T.IntegerType())), ("char_start", T.IntegerType()), ("char_end", T.IntegerType()), ("chunk_text", T.StringType())]
+    out = T.StructType([*rest, *[T.StructField(n, k) for n, k in kinds]])
+    arrow = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.string())
+    stride = max(1, size - overlap)
+
+    def cut(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                of, made = [], []
+                for i, (ids, a, e, t) in enumerate(zip(*(part.column(c).to_pylist() for c in ("token_ids", "tok_start", "tok_end", text)))):
+                    for s in range(0, max(0, -(-(len(ids) - size) // stride)) * stride + 1, stride) if ids else ():
+                        first = a[s] if a and s < len(a) else None
+                        last = e[min(s + size, len(e)) - 1] if e else None
+                        made.append((s, min(size, len(ids) - s), ids[s : s + size], first, last, None if t is None or first is None or last is None else t[first : max(first, last)]))
+                        of.append(i)
+                who = pa.array(of, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name).take(who) for f in rest), *(pa.array([m[j] for m in made], k) for j, k in enumerate(arrow))], out.fieldNames())
+
+    used = [*[f.name for f in rest], *(F.col(c).cast("array<int>").alias(c) for c in ("token_ids", "tok_start", "tok_end")), text]
+    return tokens.select(*used).mapInArrow(cut, out).withColumn("chunk_id", F.concat_ws("#", F.col(name), F.col("start")))
