@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine_or
 
 
+def cosines(a: DataFrame, b: DataFrame, key: str, vec: str = "vec", degenerate: float = 1.0) -> DataFrame:
+    """``(key, cosine)`` of vectors with one key; ``degenerate`` where either is zero."""
+    j = a.select(key, F.col(vec).alias("_a")).join(b.select(key, F.col(vec).alias("_b")), key)
+    return j.select(key, cosine_or(F.col("_a"), F.col("_b"), degenerate).alias("cosine"))
+
+
 def compare_vectors(a: DataFrame, b: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """``(rows, min_cosine, mean_cosine, max_cosine)`` of vectors with one key; 1 for none."""
-    j = a.select(key, F.col(vec).alias("_a")).join(b.select(key, F.col(vec).alias("_b")), key)
-    c = j.select(cosine_or(F.col("_a"), F.col("_b"), 1.0).alias("c"))
+    c = cosines(a, b, key, vec).select(F.col("cosine").alias("c"))
     one = F.lit(1.0)
     return c.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.min("c"), one).alias("min_cosine"), F.coalesce(F.avg("c"), one).alias("mean_cosine"), F.coalesce(F.max("c"), one).alias("max_cosine"))
 

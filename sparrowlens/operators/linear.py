@@ -47,8 +47,13 @@ def gram(df: DataFrame, dim: int, vec: str = "vec", *, centered: bool = False) -
 
 def top_component(df: DataFrame, dim: int, vec: str = "vec") -> np.ndarray:
     """First principal component of the uncentered vectors, largest coordinate positive."""
-    axis = np.linalg.eigh(gram(df, dim, vec))[1][:, -1]
-    return axis * np.sign(axis[np.argmax(np.abs(axis))])
+    return top_components(df, dim, 1, vec)[0]
+
+
+def top_components(df: DataFrame, dim: int, count: int, vec: str = "vec") -> np.ndarray:
+    """The ``count`` first principal components of the uncentered vectors, one to a row."""
+    axes = np.linalg.eigh(gram(df, dim, vec))[1].T[::-1][:count]
+    return axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
 
 
 def top2_axes(df: DataFrame, dim: int, vec: str = "vec", iterations: int = 60) -> np.ndarray:

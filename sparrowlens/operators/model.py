@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dequantize, quantize, quantize_scale, sif_weight
+from ..functions.vectors import CODES, cosine, dequantize, quantize, quantize_scale, sif_weight
 from .order import prefix_sum
 
 SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
@@ -25,6 +27,23 @@ def quantize_error(df: DataFrame, key: str, vec: str) -> DataFrame:
     return d.select(key, "scale", worst.alias("max_error"), cosine(F.col("_v"), F.col("_b")).alias("cosine"))
 
 
+def coded_tokens(tokens: DataFrame, dim: int) -> DataFrame:
+    """``(token_id, vec, sif)`` of a token table with each vector as its 8-bit codes give it back; null vectors are left out."""
+
+    def run(batches):
+        for b in batches:
+            x = np.asarray(b.column("vec").flatten(), np.float64).reshape(-1, dim)
+            top = np.abs(x).max(1, keepdims=True, initial=0)
+            scale = np.where(top > 1e-8, top / CODES, 0.0)
+            y = x * np.where(scale > 0, 1 / np.where(scale > 0, scale, 1), 0.0)
+            # halves away from zero, as the column functions round
+            back = np.clip(np.trunc(y + np.copysign(0.5, y)), -CODES, CODES) * scale
+            yield pa.RecordBatch.from_arrays([b.column("token_id"), pa.FixedSizeListArray.from_arrays(pa.array(back.ravel()), dim).cast(pa.list_(pa.float64())), b.column("sif")], ["token_id", "vec", "sif"])
+
+    d = tokens.select(F.col("token_id").cast("long").alias("token_id"), F.col("vec").cast("array<double>").alias("vec"), F.col("sif").cast("double").alias("sif")).where(F.size("vec") == dim)
+    return d.mapInArrow(run, "token_id long, vec array<double>, sif double")
+
+
 def fidelity(errors: DataFrame) -> DataFrame:
     """``(rows, min_cosine, mean_cosine, max_cosine, max_error)`` of quantized rows; 0 for none."""
     zero = F.lit(0.0)

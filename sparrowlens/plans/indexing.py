@@ -9,14 +9,36 @@ from pyspark.sql import functions as F
 from ..functions.vectors import norm, without_component
 from ..operators.linear import top_component
 from ..operators.pooling import pool
+from ..operators.search import search
 from ..operators.tokenize import tokenize
 from ..operators.windows import OVERLAP, SIZE, window_starts, windows
+from .staging import staged
 
 
 def without_axis(pooled: DataFrame, axis: np.ndarray, key: str) -> DataFrame:
-    """``(key, vec, norm)`` of pooled vectors without their part along ``axis``."""
-    a = F.array(*[F.lit(float(x)) for x in axis])
-    return pooled.select(key, without_component(F.col("vec"), a).alias("vec")).withColumn("norm", norm(F.col("vec")))
+    """``(key, vec, norm)`` of pooled vectors without their part along ``axis``, or along each of several in turn."""
+    v = F.col("vec")
+    for x in np.atleast_2d(np.asarray(axis, float)):
+        v = without_component(v, F.array(*[F.lit(float(y)) for y in x]))
+    return pooled.select(key, v.alias("vec")).withColumn("norm", norm(F.col("vec")))
+
+
+def search_tokens(queries: DataFrame, emb: DataFrame, index: DataFrame, k: int = 8, *, dim: int, axis: np.ndarray | None = None, query_key: str = "query_id", key: str = "chunk_ord") -> DataFrame:
+    """``(query_id, rank, key, score)`` for queries ``(query_id, token_ids)`` over an index of vectors.
+
+    A query without tokens has no hits; one whose tokens weigh nothing has a zero vector
+    and scores 0 against all.
+    """
+    asked = pool(queries.where(F.size("token_ids") > 0), emb, dim, key=query_key)
+    if axis is not None:
+        asked = without_axis(asked, axis, query_key)
+    return search(asked, index, k, dim=dim, query_key=query_key, key=key)
+
+
+def search_texts(queries: DataFrame, vocab: DataFrame, emb: DataFrame, index: DataFrame, k: int = 8, *, dim: int, axis: np.ndarray | None = None, query_key: str = "query_id", key: str = "chunk_ord") -> DataFrame:
+    """The same for queries ``(query_id, text)``; null and blank texts have no hits."""
+    tokens = tokenize(queries.select(query_key, "text").where("text is not null"), vocab)
+    return search_tokens(tokens, emb, index, k, dim=dim, axis=axis, query_key=query_key, key=key)
 
 
 def embed(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord", axis: np.ndarray | None = None) -> DataFrame:
@@ -29,14 +51,18 @@ def index_documents(docs: DataFrame, vocab: DataFrame, emb: DataFrame, dim: int,
     """Tables ``docs`` and ``chunks`` of the store for documents ``(name, text)``.
 
     Texts are indexed once each, under the smallest of their names; an empty text has no
-    window, but is known; null texts are left out.
+    window, but is known; null texts are left out. Only hashes are shuffled to find texts
+    that repeat, and the tokens are made once for both tables.
     """
     d = docs.where("text is not null").select(F.sha2("text", 256).alias("doc_hash"), F.col("name").alias("doc_name"), "text")
-    d = d.groupBy("doc_hash").agg(F.min("doc_name").alias("doc_name"), F.first("text").alias("text"))
-    t = tokenize(d, vocab)
-    w = windows(t, size=size, overlap=overlap)
-    a = F.array(*[F.lit(float(x)) for x in axis])
+    again = staged(d.groupBy("doc_hash").count().where("count > 1").select("doc_hash"))
+    several = d.join(again, "doc_hash", "left_semi").groupBy("doc_hash").agg(F.min("doc_name").alias("doc_name"), F.first("text").alias("text"))
+    t = staged(tokenize(d.join(again, "doc_hash", "left_anti").unionByName(several), vocab))
+    w = windows(t, size=size, overlap=overlap).drop("chunk_id")
     # vectors are made in the pass that cuts the windows, so nothing is joined or shuffled
-    v = pool(w.withColumn("_id", F.concat_ws("#", "doc_hash", "start")), emb, dim, key="_id", keep=True).withColumn("vec", without_component(F.col("vec"), a))
-    chunks = v.select("doc_hash", "start", "doc_name", F.col("chunk_text").alias("text"), "token_ids", "char_start", "char_end", "vec", norm(F.col("vec")).alias("norm"))
+    v = pool(w.withColumn("_id", F.concat_ws("#", "doc_hash", "start")), emb, dim, key="_id", keep=True)
+    vec = F.col("vec")
+    for x in np.atleast_2d(np.asarray(axis, float)):
+        vec = without_component(vec, F.array(*[F.lit(float(y)) for y in x]))
+    chunks = v.withColumn("vec", vec).select("doc_hash", "start", "doc_name", F.col("chunk_text").alias("text"), "token_ids", "char_start", "char_end", "vec", norm(F.col("vec")).alias("norm"))
     return t.select("doc_hash", "doc_name", F.coalesce(F.size(window_starts(F.size("token_ids"), size, overlap)), F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("added_at")), chunks

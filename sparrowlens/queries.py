@@ -13,13 +13,13 @@ from .functions.vectors import dot
 from .operators import check, linear, model
 from .operators.kmeans import kmeans
 from .operators.order import prefix_sum, resample, with_ordinal
-from .operators.pooling import pool
+from .operators.pooling import pool, token_matrix
 from .operators.search import search, search_one, with_text
 from .operators.tokenize import split_words, tokenize, word_counts
 from .operators.windows import window_starts, windows
-from .plans.indexing import without_axis
+from .plans.indexing import search_tokens, without_axis
 from .plans.staging import shared_dir, staged, table
-from .sources import packed, raw
+from .sources import packed, raw, read_corpus
 from .sources.store import Store
 from .sql import ORACLE_SQL, QUERY_TEXT
 
@@ -98,14 +98,23 @@ def chunk_search(spark, d):
 @_query
 def embed_search(spark, d):
     """A query text from tokens to the 8 chunks whose pooled vectors are closest."""
-    emb = staged(_tokens(spark, d))
-    chunks = _chunks(spark, d)
-    pooled = staged(pool(chunks, emb, DIM))
+    emb = _tokens(spark, d)
+    held = token_matrix(emb, DIM)
+    pooled = staged(pool(_chunks(spark, d), emb, DIM, held=held))
     axis = linear.top_component(pooled, DIM)
     q = tokenize(spark.createDataFrame([(0, QUERY_TEXT)], "query_id long, text string"), table(spark, d, "vocab"))
-    qv = without_axis(pool(q, emb, DIM, key="query_id"), axis, "query_id").first()
-    hits = search_one(without_axis(pooled, axis, "chunk_ord"), qv.vec, K)
-    return hits.select("chunk_ord", F.round("score", 5).alias("score"))
+    qv = without_axis(pool(q, emb, DIM, key="query_id", held=held), axis, "query_id")
+    return search(qv, without_axis(pooled, axis, "chunk_ord"), K, dim=DIM).select("chunk_ord", F.round("score", 5).alias("score"))
+
+
+@_query
+def token_search(spark, d):
+    """The 8 chunks closest to the tokens of every 50th chunk; a chunk without tokens asks for nothing."""
+    chunks = staged(_chunks(spark, d))
+    emb = _tokens(spark, d)
+    asked = chunks.where("chunk_ord % 50 = 0").withColumnRenamed("chunk_ord", "query_id")
+    hits = search_tokens(asked, emb, pool(chunks, emb, DIM), K, dim=DIM)
+    return hits.select("query_id", "rank", "chunk_ord", F.round("score", 6).alias("score"))
 
 
 @_query
@@ -316,6 +325,34 @@ def pc_remove(spark, d):
     return v.select("chunk_ord", F.round("norm", 4).alias("norm"))
 
 
+def _pooled_both(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Chunks pooled from the token vectors and from their 8-bit codes, both without the common component."""
+    chunks, tokens = staged(_chunks(spark, d)), staged(_tokens(spark, d))
+    full = staged(pool(chunks, tokens, DIM))
+    axis = linear.top_component(full, DIM)
+    return without_axis(full, axis, "chunk_ord"), without_axis(pool(chunks, model.coded_tokens(tokens, DIM), DIM), axis, "chunk_ord")
+
+
+@_query
+def quantized_pool(spark, d):
+    """Cosine of every chunk pooled from coded tokens to the same chunk pooled from the token vectors."""
+    return check.cosines(*_pooled_both(spark, d), "chunk_ord", degenerate=0.0).select("chunk_ord", F.round("cosine", 6).alias("cosine"))
+
+
+@_query
+def quantized_pool_report(spark, d):
+    """Fidelity of the coded model over all chunks."""
+    r = check.compare_vectors(*_pooled_both(spark, d), "chunk_ord")
+    return r.select("rows", *[F.round(c, 6).alias(c) for c in ("min_cosine", "mean_cosine", "max_cosine")])
+
+
+@_query
+def report_head(spark, d):
+    """The head of the fidelity report of the coded chunk vectors."""
+    v = _stored(spark, d)
+    return raw.report_head(model.compression(v, "vec"), model.quantize_error(v, "chunk_ord", "vec"))
+
+
 @_query
 def column_means(spark, d):
     """Mean of every coordinate of the chunk vectors."""
@@ -356,6 +393,14 @@ def nearest_pick(spark, d):
     return linear.pick(linear.normalized_map(_drawn(spark, d)), 0.1, 0.05, "chunk_ord").select("chunk_ord", F.round("dist2", 8).alias("dist2"))
 
 
+@_query
+def map_clusters(spark, d):
+    """The chunks' places along the two leading axes with their cluster and its colour."""
+    v = staged(_stored(spark, d))
+    p = linear.layout(v, DIM, "chunk_ord").join(kmeans(v, DIM, 7, key="chunk_ord"), "chunk_ord")
+    return p.select("chunk_ord", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "cluster", F.pmod("cluster", F.lit(8)).alias("colour"))
+
+
 @_query
 def kmeans_assign(spark, d):
     """Cluster of every vector after 15 rounds with 7 centres."""
@@ -425,53 +470,85 @@ def latest_meta(spark, d):
     return rows.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_hash", "meta_id", "doc_name")
 
 
-# --- without SQL: files and streams ------------------------------------------------------
+@_query
+def missing_ids(spark, d):
+    """Ids below 40,000 that the vocabulary lacks."""
+    return model.missing_ids(table(spark, d, "vocab"), 40_000)
+
+
+# --- files and streams ---------------------------------------------------------------------
+
+
+def _new_path(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{os.urandom(8).hex()}"
+
+
+def _axis(spark, d) -> np.ndarray:
+    return linear.top_component(_pooled(spark, d), DIM)
 
 
 @_query
 def codec_roundtrip(spark, d):
     """The quantized token table written to one packed file and read back."""
     tokens = _tokens(spark, d).join(table(spark, d, "vocab").select("token_id", "token"), "token_id")
-    v = tokens.withColumn("scale", F.array_max(F.transform("vec", F.abs)) / 127.0)
-    q = model.quantize_rows(v.select("token_id", "vec"), "token_id", "vec").join(v.select("token_id", "token", "sif"), "token_id")
-    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    path = os.path.join(folder, f"model-{os.urandom(8).hex()}.bin")
-    packed.write_packed(q, path, np.eye(1, DIM, dtype=np.float32))
-    return packed.read_packed(spark, path).select("token_id", "token", F.transform("codes", lambda x: x.cast("int")).alias("codes"), F.round("scale", 7).alias("scale"), F.round("sif", 6).alias("sif"))
+    q = model.quantize_rows(tokens, "token_id", "vec").join(tokens.select("token_id", "token", "sif"), "token_id")
+    path = raw.local(_new_path(spark, "model"))
+    packed.write_packed(q, path, _axis(spark, d)[None, :])
+    back = packed.read_packed(spark, path)
+    return back.select("token_id", "token", F.transform("codes", lambda x: x.cast("int")).alias("codes"), F.round("scale", 6).alias("scale"), F.round("sif", 6).alias("sif"))
 
 
 @_query
 def raw_roundtrip(spark, d):
     """The given vectors written as rows of floats and read back in ranges."""
-    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    path = os.path.join(folder, f"floats-{os.urandom(8).hex()}.bin")
+    path = raw.local(_new_path(spark, "floats"))
     n = raw.write_floats(_emb(spark, d), path, "vec_id", "vec")
     return raw.read_floats(spark, path, DIM, n).select(F.col("row").alias("vec_id"), F.transform("vec", lambda x: F.round(x.cast("double"), 6) + 0.0).alias("vec"))
 
 
+@_query
+def corpus_roundtrip(spark, d):
+    """The documents written as JSON and read back as a corpus; how many there are of each name."""
+    path = _new_path(spark, "corpus")
+    table(spark, d, "documents").select(F.col("doc_name").alias("name"), "text").write.json(path)
+    return read_corpus(spark, path, lines=True).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars"))
+
+
 @_query
 def store_roundtrip(spark, d):
     """Every document indexed into a fresh store twice over; what the store then holds."""
     from .streaming.ingest import ingest_batch
 
-    store = Store(spark, f"{shared_dir(spark)}/store-{os.urandom(8).hex()}")
-    emb, vocab = staged(_tokens(spark, d)), table(spark, d, "vocab")
+    store = Store(spark, _new_path(spark, "store"))
+    emb, vocab, axis = staged(_tokens(spark, d)), table(spark, d, "vocab"), _axis(spark, d)
     docs = table(spark, d, "documents").select(F.col("doc_name").alias("name"), "text")
     for _ in range(2):
-        ingest_batch(store, docs, vocab, emb, DIM, np.zeros(DIM))
-    return store.docs().select("doc_hash", "chunk_count")
+        ingest_batch(store, docs, vocab, emb, DIM, axis)
+    return store.docs().select("doc_hash", "doc_name", (F.col("chunk_count") > 0).alias("has_windows"))
+
+
+@_query
+def store_chunks(spark, d):
+    """The windows of the items, each under the hash of its text: how many, and the last character."""
+    store = Store(spark, _new_path(spark, "store"))
+    items = _items(spark, d).where("text is not null").withColumn("doc_hash", F.sha2("text", 256))
+    w = windows(items).select("doc_hash", "start", "doc_name", F.col("chunk_text").alias("text"), "token_ids", "char_start", "char_end")
+    v = pool(w.withColumn("_id", F.concat_ws("#", "doc_hash", "start")), _tokens(spark, d), DIM, key="_id", keep=True)
+    meta = items.groupBy("doc_hash").agg(F.min("doc_name").alias("doc_name")).select("doc_hash", "doc_name", F.lit(0).alias("chunk_count"), F.current_timestamp().alias("added_at"))
+    store.put(meta, v.withColumn("norm", norm(F.col("vec"))))
+    return store.chunks().groupBy("doc_hash").agg(F.count(F.lit(1)).alias("windows"), F.max("char_end").alias("last_char"))
 
 
 @_query
 def stream_ingest(spark, d):
-    """The documents as a stream of files into a fresh store; windows by document."""
+    """The documents as a stream of files into a fresh store; the texts that have windows."""
     from .streaming.ingest import ingest_stream
 
-    base = f"{shared_dir(spark)}/stream-{os.urandom(8).hex()}"
+    base = _new_path(spark, "stream")
     store = Store(spark, f"{base}/store")
     emb, vocab = staged(_tokens(spark, d)), table(spark, d, "vocab")
     docs = table(spark, d, "documents").select(F.col("doc_name").alias("name"), "text")
     docs.write.parquet(f"{base}/in")
     arriving = spark.readStream.schema(docs.schema).parquet(f"{base}/in")
-    ingest_stream(store, arriving, vocab, emb, DIM, np.zeros(DIM), checkpoint=f"{base}/checkpoint").awaitTermination()
-    return store.chunks().groupBy("doc_hash").agg(F.count(F.lit(1)).alias("windows"), F.max("char_end").alias("last_char"))
+    ingest_stream(store, arriving, vocab, emb, DIM, _axis(spark, d), checkpoint=f"{base}/checkpoint").awaitTermination()
+    return store.chunks().groupBy("doc_hash").agg(F.min("start").alias("first_start"), F.min("doc_name").alias("doc_name"))

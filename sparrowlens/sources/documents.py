@@ -37,6 +37,6 @@ def _pdf_texts(batches):
         yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(texts, pa.string())], ["name", "text"])
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, text)`` from JSON files that hold arrays of such objects."""
-    return spark.read.schema(_SCHEMA).json(path, multiLine=True)
+def read_corpus(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """``(name, text)`` from JSON files that hold an array of such objects, or one object on each of their ``lines``."""
+    return spark.read.schema(_SCHEMA).json(path, multiLine=not lines)

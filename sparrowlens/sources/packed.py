@@ -13,8 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.order import prefix_sum
+from .raw import write_ranges
+
 # Fixed values of the format.
 MAGIC, VERSION = b"BMND", 1
 HEADER = struct.Struct("<4s8If")
@@ -151,28 +155,36 @@ def write_packed(model: DataFrame, path: str, components: np.ndarray, *, unk: in
     """Writes ``(token_id, token, codes, scale, sif)`` to one file.
 
     Ids must be 0..V-1 without gaps, codes of one length, components of that length. The
-    rows stream to the writer in order of their id, a section at a time.
+    header and the components are written first; then every task writes its range of
+    rows into the sections, so that no rows pass through the driver. The format counts
+    the bytes of all tokens in 32 bits.
     """
     components = np.asarray(components, "<f4").reshape(-1, np.asarray(components).shape[-1])
-    d = model.select("token_id", "token", "codes", "scale", "sif").orderBy("token_id")
-    stats = d.selectExpr("count(*) n", "min(token_id) a", "max(token_id) b", "count(distinct token_id) u", "min(size(codes)) d0", "max(size(codes)) d1").first()
+    d = model.select("token_id", F.coalesce("token", F.lit("")).alias("token"), "codes", "scale", "sif")
+    stats = d.selectExpr("count(*) n", "min(token_id) a", "max(token_id) b", "count(distinct token_id) u", "min(size(codes)) d0", "max(size(codes)) d1", "coalesce(sum(cast(octet_length(token) as long)), 0L) heap").first()
     if stats.n and not (stats.a == 0 and stats.b == stats.n - 1 and stats.u == stats.n):
         raise ValueError("packed model: token ids must be 0..V-1, each once")
     if stats.n and not (stats.d0 == stats.d1 == components.shape[1]):
         raise ValueError("packed model: rows and components must have one length")
-    rows = list(d.toLocalIterator(prefetchPartitions=True)) if stats.n < 1 << 22 else None
-    if rows is None:
-        raise ValueError("packed model: more than 4,194,303 tokens")
-    heap = [(r.token or "").encode("utf-8") for r in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in heap])]).astype("<u4") if heap else np.zeros(1, "<u4")
-    h = Header(len(rows), components.shape[1], len(components), unk, cls, sep, pad, sif_a, blob=int(offsets[-1]))
+    if stats.heap >= 1 << 32:
+        raise ValueError("packed model: tokens of more than 4 GiB")
+    h = Header(stats.n, components.shape[1], len(components), unk, cls, sep, pad, sif_a, blob=stats.heap)
     with open(path, "wb") as f:
         f.write(HEADER.pack(magic, VERSION, h.vocab, h.dim, h.components, unk, cls, sep, pad, sif_a))
-        f.write(offsets.tobytes())
-        f.write(b"".join(heap))
-        f.write(b"\0" * ((4 - h.blob % 4) % 4))
-        f.write(np.array([r.codes for r in rows], "<i1").tobytes())
-        f.write(np.array([r.scale for r in rows], "<f4").tobytes())
-        f.write(np.array([r.sif for r in rows], "<f4").tobytes())
+        f.truncate(h.components_at + components.nbytes)
+        f.seek(h.offsets_at + 4 * h.vocab)
+        f.write(struct.pack("<I", h.blob))
+        f.seek(h.components_at)
         f.write(components.tobytes())
+    placed = prefix_sum(d.withColumn("length", F.octet_length("token")), ["token_id"], "length", "offset")
+
+    def sections(b):
+        i, offset = b.column("token_id")[0].as_py(), np.asarray(b.column("offset"), np.int64)
+        yield h.offsets_at + 4 * i, offset.astype("<u4").tobytes()
+        yield h.blob_at + int(offset[0]), "".join(b.column("token").to_pylist()).encode("utf-8")
+        yield h.codes_at + i * h.dim, np.asarray(b.column("codes").flatten(), "<i1").tobytes()
+        yield h.scales_at + 4 * i, np.asarray(b.column("scale"), "<f4").tobytes()
+        yield h.sif_at + 4 * i, np.asarray(b.column("sif"), "<f4").tobytes()
+
+    write_ranges(placed, path, "token_id", sections)
     return h

@@ -1,7 +1,7 @@
 """Exchange files of the model build: manifest, vocabulary, float rows, validation set, report.
 
 All numbers are little-endian; strings are a length and UTF-8 bytes. Float rows, the one
-large file, are read in ranges by the tasks.
+large file, are written and read in ranges by the tasks; the others hold a model's few words or examples.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import with_ordinal
+from ..plans.staging import staged
+
 # Fixed values of the format.
 MAGIC, VERSION = b"BMPR", 1
 _HEAD = struct.Struct("<4s7IfI")
@@ -89,14 +92,49 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "token_id int, token string")
 
 
+def local(path: str) -> str:
+    """The path of a file that tasks open by themselves, in a folder that all of them can reach."""
+    kind, _, rest = path.rpartition("://")
+    if kind not in ("", "file"):
+        raise ValueError(f"{path}: files of fixed layout need a mounted folder")
+    return rest.removeprefix("file:")
+
+
+def write_ranges(df: DataFrame, path: str, row: str, sections) -> int:
+    """Each task writes its rows into their place of the file ``path``, which is there already.
+
+    ``sections(batch)`` gives ``(offset, bytes)`` for a batch of consecutive values of
+    ``row``. A task that is run again writes the same bytes to the same place.
+    """
+
+    def write(batches):
+        n = 0
+        with open(path, "r+b") as f:
+            for b in batches:
+                at = np.asarray(b.column(row), np.int64)
+                for i, e in zip(starts := [0, *(np.nonzero(np.diff(at) != 1)[0] + 1).tolist()], [*starts[1:], len(at)]):
+                    if e > i:
+                        for offset, raw in sections(b.slice(i, e - i)):
+                            f.seek(offset)
+                            f.write(raw)
+                n += len(at)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return df.repartitionByRange(row).sortWithinPartitions(row).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_floats(df: DataFrame, path: str, key: str, vec: str) -> int:
-    """Rows of floats one after the other, in the order of ``key``; rows stream to the writer."""
-    n = 0
+    """Rows of floats one after the other, in the order of ``key``; tasks write them to their places.
+
+    Keys must be unique, vectors of one length and not null.
+    """
+    d = staged(with_ordinal(df.select(F.col(key).alias("_key"), F.col(vec).cast("array<float>").alias("v")), ["_key"], "row"))
+    n, low, high = d.agg(F.count(F.lit(1)), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if n and (low != high or low < 0):
+        raise ValueError("floats: vectors must have one length")
     with open(path, "wb") as f:
-        for r in df.orderBy(key).select(F.col(vec).cast("array<float>")).toLocalIterator(prefetchPartitions=True):
-            f.write(np.asarray(r[0], "<f4").tobytes())
-            n += 1
-    return n
+        f.truncate(4 * n * (low or 0))
+    return write_ranges(d.select("row", "v"), path, "row", lambda b: [(4 * low * b.column("row")[0].as_py(), np.asarray(b.column("v").flatten(), "<f4").tobytes())])
 
 
 def read_floats(spark: SparkSession, path: str, dim: int, rows: int | None = None) -> DataFrame:
@@ -149,3 +187,12 @@ def read_validation(spark: SparkSession, path: str, dim: int) -> DataFrame:
 def report_lines(errors: DataFrame, key: str) -> DataFrame:
     """``(key, line)``: the cosine of every row with five decimals, for a text report."""
     return errors.select(key, F.concat(F.format_string("  %.5f  ", "cosine"), F.col(key).cast("string")).alias("line"))
+
+
+def report_head(compression: DataFrame, cosines: DataFrame) -> DataFrame:
+    """``(line_no, line)``: sizes, ratio and the smallest, mean and largest ``cosine``, for a text report."""
+    c = cosines.agg(*[F.coalesce(f("cosine"), F.lit(0.0)).alias(n) for n, f in (("low", F.min), ("mean", F.avg), ("high", F.max))])
+    one = compression.crossJoin(F.broadcast(c))  # one row each
+    mb = lambda b: F.col(b) / float(1 << 20)
+    lines = [("fp32 size: %.4f MB", mb("fp32_bytes")), ("int8 size: %.4f MB", mb("int8_bytes")), ("ratio: %.4fx", F.col("ratio")), ("min cosine: %.6f", F.col("low")), ("mean cosine: %.6f", F.col("mean")), ("max cosine: %.6f", F.col("high"))]
+    return one.select(F.posexplode(F.array(*[F.format_string(f, x) for f, x in lines])).alias("line_no", "line"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCS = "doc_hash string, doc_name string, chunk_count int, added_at timestamp"
+ROWS_PER_FILE = 1 << 16
 CHUNKS = "doc_hash string, start int, doc_name string, text string, token_ids array<int>, char_start int, char_end int, vec array<double>, norm double"
 
 
@@ -56,15 +57,18 @@ class Store:
     def lookup(self, docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         """Documents that are there and those that are not, both with ``doc_hash``."""
         d = docs.withColumn("doc_hash", F.sha2(F.col(text), 256))
-        known = self.docs().select("doc_hash")
+        known = self._read("docs", DOCS).select("doc_hash")  # entries may repeat; a half join does not mind
         return d.join(known, "doc_hash", "left_semi"), d.join(known, "doc_hash", "left_anti")
 
-    def put(self, docs: DataFrame, chunks: DataFrame, batch: str | None = None) -> None:
+    def put(self, docs: DataFrame, chunks: DataFrame, batch: str | None = None, rows: int = 0) -> None:
         """Adds documents and their windows. A batch of one name replaces itself, so a repeated
-        write changes nothing; windows are written first, so no document lacks them."""
+        write changes nothing; windows are written first, so no document lacks them. ``rows`` is
+        about how many windows there are: the tasks that write a folder grow with it."""
         batch = batch or uuid.uuid4().hex
         windows = chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]).withColumn("prefix", F.substring("doc_hash", 1, self.digits)).withColumn("batch", F.lit(batch))
-        windows.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "prefix").parquet(f"{self.path}/chunks")
+        files = max(1, -(-rows // (ROWS_PER_FILE * 16**self.digits)))
+        salt = F.pmod(F.xxhash64("doc_hash", "start"), F.lit(files))
+        windows.repartition(files * 16**self.digits, "prefix", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "prefix").parquet(f"{self.path}/chunks")
         docs.select(*[c.split()[0] for c in DOCS.split(", ")]).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/docs")
 
     def clear(self) -> None:

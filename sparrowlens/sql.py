@@ -55,10 +55,10 @@ def _power(name: str, steps: int, against: str | None, start: str) -> str:
 _START = "(select list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) from (select [sin(i * 12.9898 + 1) * 0.5 + 0.5001 for i in range(64)] as s))"
 
 
-def _kmeans(rounds: int = 15, k: int = 7, dim: int = 64) -> str:
+def _kmeans(rounds: int = 15, k: int = 7, dim: int = 64, source: str = _EMB) -> str:
     """Rounds of Lloyd's method as a chain of materialized steps."""
     parts = [
-        _EMB,
+        source,
         "ordered as (select vec_id, vec, row_number() over (order by vec_id) - 1 as o, count(*) over () as n from emb)",
         f"seed as (select c, vec as m from (select unnest(range({k})) as c), ordered where o = least(c * (n // {k}), n - 1))",
         "a0 as materialized (select vec_id, vec, arg_min(c, (list_distance(vec, m), c)) as cluster from emb, seed group by all)",
@@ -69,7 +69,7 @@ def _kmeans(rounds: int = 15, k: int = 7, dim: int = 64) -> str:
              (select cluster as c, list(x order by i) as m from (select cluster, i, avg(x) as x from (select cluster, unnest(range({dim})) as i, unnest(vec) as x from a{r - 1}) group by all) group by 1) t using (c))""")
         parts.append(f"a{r} as materialized (select vec_id, vec, arg_min(c, (list_distance(vec, m), c)) as cluster from emb, m{r} group by all)")
         prior = f"m{r}"
-    return "with " + ", ".join(parts)
+    return ", ".join(parts)
 
 
 def _topk(queries: str, rows: str, key: str) -> str:
@@ -104,6 +104,13 @@ _AXIS = f"""pcoord as (select chunk_ord as id, unnest(range(1, 65)) as i, unnest
      {_power('axis', 200, None, _START)},
      bare as (select chunk_ord, list_transform(list_zip(vec, v), lambda q: q[1] - list_dot_product(vec, v) * q[2]) as vec from pooled, axis)"""
 _WORDS = f"word as (select unnest(regexp_extract_all(lower(text), '{_PAT}')) as word from doc)"
+# the same chunks pooled from the codes of the tokens
+_CODED = """qtok as (select token_id, sif, case when m > 1e-8 then [greatest(-127, least(127, round(x * (1.0 / (m / 127))))) * (m / 127) for x in vec] else [0.0 for x in vec] end as vec
+              from (select *, list_max([abs(x) for x in vec]) as m from tok)),
+     qparts as (select chunk_ord, unnest(range(1, 65)) as i, sif, unnest(vec) as x from used join qtok using (token_id)),
+     qsums as (select chunk_ord, i, sum(sif * x) / sum(sif) as x from qparts group by all),
+     qpooled as (select c.chunk_ord, coalesce(v.vec, [0.0::double for i in range(64)]) as vec from chunk c left join (select chunk_ord, list(x order by i) as vec from qsums group by 1) v using (chunk_ord)),
+     qbare as (select chunk_ord, list_transform(list_zip(vec, v), lambda q: q[1] - list_dot_product(vec, v) * q[2]) as vec from qpooled, axis)"""
 _FILES = "files as (select doc_hash, count(distinct chunk_ord) as chunks from chunks where doc_hash is not null group by 1)"
 
 ORACLE_SQL = {
@@ -173,8 +180,8 @@ ORACLE_SQL = {
         select chunk_ord, round(list_dot_product(s.vec, f.v), 4) as x, round(list_dot_product(s.vec, g.v), 4) as y from stored s, first f, second g""",
     "map_normalize": f"with {_DRAWN} select chunk_ord, round(x, 6) as x, round(y, 6) as y, ((cluster_no % 8) + 8) % 8 as colour from placed",
     "nearest_pick": f"with {_DRAWN}, dist as (select chunk_ord, (x - 0.1) * (x - 0.1) + (y - 0.05) * (y - 0.05) as dist2 from placed), one as (select * from dist order by dist2, chunk_ord limit 1) select chunk_ord, round(dist2, 8) as dist2 from one where dist2 < 0.01",
-    "kmeans_assign": _kmeans() + " select vec_id, cluster::int as cluster from a14",
-    "kmeans_sizes": _kmeans() + " select cluster::int as cluster, count(*) as n from a14 group by 1",
+    "kmeans_assign": "with " + _kmeans() + " select vec_id, cluster::int as cluster from a14",
+    "kmeans_sizes": "with " + _kmeans() + " select cluster::int as cluster, count(*) as n from a14 group by 1",
     "doc_hash": f"with {_DOC} select doc_id, sha256(text) as doc_hash from doc",
     "cache_hits": f"with {_FILES} select doc_hash, chunks from files where doc_hash in (select doc_hash from cached_docs where doc_hash is not null)",
     "cache_misses": f"with {_FILES} select doc_hash, chunks from files where doc_hash not in (select doc_hash from cached_docs where doc_hash is not null)",
@@ -182,4 +189,27 @@ ORACLE_SQL = {
     "union_corpus": "select origin, coalesce(trim(text, ' ') = '', true) as blank, count(*) as n from (select 'documents' as origin, text from documents union all select 'intake', text from intake) group by 1, 2",
     "distinct_docs": "select doc_name, count(distinct doc_id) as docs, count(distinct text) as texts from documents where doc_name is not null group by 1",
     "latest_meta": "select doc_hash, meta_id, doc_name from (select distinct * from cached_docs) where doc_hash is not null qualify row_number() over (partition by doc_hash order by synced_at desc nulls last, meta_id) = 1",
+    "token_search": f"""with {_POOLED}, r as (select chunk_ord as id, vec from pooled), q as (select r.* from r join chunk on id = chunk_ord where id % 50 = 0 and len(token_ids) > 0), hit as ({_topk('q', 'r', 'chunk_ord')})
+        select query_id, rank, chunk_ord, round(score, 6) as score from hit""",
+    "quantized_pool": f"with recursive {_POOLED}, {_AXIS}, {_CODED} select b.chunk_ord, round({_cos('b.vec', 'q.vec')}, 6) as cosine from bare b join qbare q using (chunk_ord)",
+    "quantized_pool_report": f"""with recursive {_POOLED}, {_AXIS}, {_CODED},
+        c as (select case when list_dot_product(b.vec, b.vec) > 0 and list_dot_product(q.vec, q.vec) > 0 then {_cos('b.vec', 'q.vec')} else 1 end as c from bare b join qbare q using (chunk_ord))
+        select count(*) as rows, round(min(c), 6) as min_cosine, round(avg(c), 6) as mean_cosine, round(max(c), 6) as max_cosine from c""",
+    "report_head": f"""with {_STORED}, {_QUANT.replace(_EMB + ', ', '').replace('vec_id', 'chunk_ord').replace('from emb', 'from stored')},
+        back as (select vec, [c * scale for c in codes] as b from coded), cosine as (select {_cos('vec', 'b')} as c from back),
+        num as (select count(*) * 256.0 / 1048576 as f, count(*) * 68.0 / 1048576 as q, min(c) as low, avg(c) as mean, max(c) as high from cosine)
+        select line_no::int as line_no, line from (select unnest(range(6)) as line_no,
+               unnest([format('fp32 size: {{:.4f}} MB', f), format('int8 size: {{:.4f}} MB', q), format('ratio: {{:.4f}}x', f / q), format('min cosine: {{:.6f}}', low), format('mean cosine: {{:.6f}}', mean), format('max cosine: {{:.6f}}', high)]) as line from num)""",
+    "map_clusters": f"""with recursive {_STORED}, src as (select chunk_ord as id, vec from stored), {_gram('src')}, {_power('first', 60, None, _START)}, {_power('second', 60, 'first', _START)},
+        {_kmeans(source='emb as (select chunk_ord as vec_id, vec from stored)')}
+        select chunk_ord, round(list_dot_product(s.vec, f.v), 4) as x, round(list_dot_product(s.vec, g.v), 4) as y, a.cluster::int as cluster, (a.cluster % 8)::int as colour
+        from stored s join a14 a on a.vec_id = s.chunk_ord, first f, second g""",
+    "missing_ids": "select i::int as token_id from (select unnest(range(40000)) as i) where i not in (select token_id from vocab where token is not null)",
+    "codec_roundtrip": f"""with {_WEIGHT}, {_QUANT} select w.token_id, coalesce(w.token, '') as token, c.codes, round(c.scale::float::double, 6) as scale, round(w.sif::float::double, 6) as sif
+        from weight w join coded c on c.vec_id = w.token_id % (select count(*) from emb)""",
+    "corpus_roundtrip": "select doc_name as name, count(*) as n, sum(coalesce(length(text), 0))::bigint as chars from documents group by 1",
+    "store_roundtrip": f"select sha256(text) as doc_hash, min(doc_name) as doc_name, bool_or(len(regexp_extract_all(lower(text), '{_PAT}')) > 0) as has_windows from documents where text is not null group by text",
+    "store_chunks": f"""with {_ITEM}, n as (select sha256(text) as doc_hash, len(token_ids) as n, tok_end from item where text is not null and len(token_ids) > 0)
+        select doc_hash, sum(case when n <= 128 then 1 else ceil((n - 128) / 96)::bigint + 1 end)::bigint as windows, max(list_last(tok_end)) as last_char from n group by 1""",
+    "stream_ingest": f"select sha256(text) as doc_hash, 0 as first_start, min(doc_name) as doc_name from documents where text is not null and len(regexp_extract_all(lower(text), '{_PAT}')) > 0 group by text",
 }

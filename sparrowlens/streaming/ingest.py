@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.indexing import index_documents
@@ -13,10 +14,10 @@ from ..sources.store import Store
 def ingest_batch(store: Store, docs: DataFrame, vocab: DataFrame, emb: DataFrame, dim: int, axis: np.ndarray, *, batch: str | None = None) -> None:
     """Indexes the documents ``(name, text)`` whose text the store does not hold yet."""
     _, new = store.lookup(docs.where("text is not null"))
-    if new.isEmpty():
-        return
     meta, chunks = index_documents(new.select("name", "text"), vocab, emb, dim, axis)
-    store.put(meta, chunks, batch)
+    n = meta.agg(F.count(F.lit(1)).alias("docs"), F.sum("chunk_count").alias("chunks")).first()
+    if n.docs:
+        store.put(meta, chunks, batch, rows=n.chunks)
 
 
 def ingest_stream(store: Store, docs: DataFrame, vocab: DataFrame, emb: DataFrame, dim: int, axis: np.ndarray, *, checkpoint: str, once: bool = True) -> StreamingQuery:

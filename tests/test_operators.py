@@ -4,14 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowlens.operators import linear
+from sparrowlens.operators import linear, model
 from sparrowlens.operators.check import compare_hits, compare_vectors
 from sparrowlens.operators.kmeans import kmeans
 from sparrowlens.operators.order import prefix_sum, resample, with_ordinal
 from sparrowlens.operators.pooling import _pool_joined, pool
 from sparrowlens.operators.search import search, search_one
 from sparrowlens.plans.components import connected_components, tree_roots
-from sparrowlens.plans.indexing import without_axis
+from sparrowlens.plans.indexing import search_texts, without_axis
 
 RNG = np.random.default_rng(3)
 
@@ -73,6 +73,30 @@ def test_axes_follow_the_fixed_iteration(spark):
     assert linear.column_means(d.limit(0), 6).count() == 0
 
 
+def test_several_axes_are_removed(spark):
+    x = RNG.standard_normal((80, 5)) * np.arange(1, 6)
+    d = frame(spark, x)
+    axes = linear.top_components(d, 5, 2)
+    assert np.allclose(np.abs(axes), np.abs(np.linalg.svd(x)[2][:2]))
+    assert max(np.abs(axes @ np.array(r.vec)).max() for r in without_axis(d, axes, "id").collect()) < 1e-9
+
+
+def test_queries_without_tokens_have_no_hits(spark):
+    vocab = spark.createDataFrame([(1, "[UNK]"), (2, "a"), (3, "b")], "token_id int, token string")
+    emb = spark.createDataFrame([(2, [1.0, 0.0], 1.0), (3, [0.0, 1.0], 1.0)], "token_id int, vec array<double>, sif double")
+    index = frame(spark, [[1, 0], [0, 1]], "chunk_ord")
+    asked = spark.createDataFrame([(1, "a"), (2, "  \n"), (3, ""), (4, None), (5, "b b a")], "query_id long, text string")
+    got = {(r.query_id, r["rank"]): r.chunk_ord for r in search_texts(asked, vocab, emb, index, 2, dim=2).collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (5, 1): 1, (5, 2): 0}
+
+
+def test_coded_tokens_are_what_the_columns_give(spark):
+    t = spark.createDataFrame([(i, [float(v) for v in r], 1.0) for i, r in enumerate(np.vstack([RNG.standard_normal((50, 6)), np.zeros((1, 6))]))], "token_id int, vec array<double>, sif double")
+    q = model.quantize_rows(t, "token_id", "vec").collect()
+    back = {r.token_id: r.vec for r in model.coded_tokens(t, 6).collect()}
+    assert all(np.allclose(back[r.token_id], np.array(r.codes) * r.scale) for r in q)
+
+
 def test_map_and_pick(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 2.0, 1.0), (3, 1.0, 0.5), (4, 1.0, 0.5)], "id long, x double, y double")
     m = {r.id: (r.x, r.y) for r in linear.normalized_map(p).collect()}
