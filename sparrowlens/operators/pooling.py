@@ -14,10 +14,10 @@ MAX_MODEL_BYTES = 256 << 20
 
 def token_matrix(emb: DataFrame, dim: int, limit: int = MAX_MODEL_BYTES) -> tuple[np.ndarray, np.ndarray] | None:
     """Sorted token ids and weight * vector rows with the weight last; None where making them takes above ``limit`` bytes."""
-    rows = emb.count()
-    if rows * (dim + 1) * 8 * 4 > limit:
+    rows = limit // ((dim + 1) * 8 * 4)
+    t = emb.select("token_id", F.col("vec").cast("array<float>").alias("vec"), F.col("sif").cast("double").alias("sif")).where("sif > 0 and vec is not null").limit(rows + 1).toArrow()
+    if len(t) > rows:
         return None
-    t = emb.select("token_id", F.col("vec").cast("array<float>").alias("vec"), F.col("sif").cast("double").alias("sif")).where("sif > 0 and vec is not null").toArrow()
     ids = np.asarray(t.column("token_id").combine_chunks(), np.int64)
     vec = np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(-1, dim)
     w = np.asarray(t.column("sif").combine_chunks(), np.float64)
