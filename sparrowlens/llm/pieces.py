@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 DEFAULT_WINDOW, DEFAULT_OVERLAP = 128, 32
 
 # Abbreviations whose full stop ends no sentence (English, French, German, Spanish).
@@ -132,6 +134,7 @@ def split_items(df: DataFrame) -> DataFrame:
 
     ``piece_text`` runs from the first character of the first token to the last of the
     last token; null where text or offsets are missing. Same rules as ``cut_points``.
+    Items that repeat are dropped before they are cut, so that no text of a piece is shuffled.
     """
 
     def run(batches):
@@ -147,4 +150,9 @@ def split_items(df: DataFrame) -> DataFrame:
                 ["item_id", "piece", "start_tok", "end_tok", "piece_text"],
             )
 
-    return _prepared(df).mapInArrow(run, "item_id long, piece int, start_tok int, end_tok int, piece_text string").distinct()
+    items = _prepared(df)
+    again = staged(items.groupBy("item_id").count().where("count > 1").select(F.col("item_id").alias("again")))
+    if not again.isEmpty():
+        same = F.col("item_id").eqNullSafe(F.col("again"))
+        items = items.join(again, same, "left_anti").unionByName(items.join(again, same, "left_semi").distinct())
+    return items.mapInArrow(run, "item_id long, piece int, start_tok int, end_tok int, piece_text string")
