@@ -170,7 +170,7 @@ def nearest_neighbours(
     leaf: int = 256,
     reach: float = 0.11,
     sample: int = 65536,
-    block: int = 8192,
+    block: int = 32768,
     seed: int = 0,
 ) -> DataFrame:
     """``(ord, other, cos, rank)``: the ``k`` most similar other keys of each asked key.
