@@ -45,7 +45,7 @@ def highlight(text: Column, query: str) -> Column:
     safe, terms = escape_html(text), query_terms(query)
     if not terms:
         return safe
-    pattern = "(?iu)(" + "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", t) for t in terms) + ")"
+    pattern = "(?iu)(" + "|".join(map(re.escape, terms)) + ")"
     return F.regexp_replace(safe, pattern, "<mark>$1</mark>")
 
 

@@ -4,27 +4,66 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import CODES, cosine, dequantize, quantize, quantize_scale, sif_weight
+from ..functions.vectors import CODES, TINY, sif_weight
 from .order import prefix_sum
 
 SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 
 
+def _coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values, offsets, row of each value, step of each row, and codes of a batch of vectors of any length.
+
+    Halves are rounded away from zero, as the column functions do; missing numbers count as 0.
+    """
+    n = np.asarray(pc.list_value_length(lists), np.int64)
+    x = np.nan_to_num(np.asarray(lists.flatten(), np.float64), nan=0.0)
+    row = np.repeat(np.arange(len(n)), n)
+    top = np.zeros(len(n))
+    np.maximum.at(top, row, np.abs(x))
+    scale = np.where(top > 1e-8, top / CODES, 0.0)
+    y = x * np.where(scale > 0, 1 / np.where(scale > 0, scale, 1), 0.0)[row]
+    return x, np.r_[0, np.cumsum(n)], row, scale, np.clip(np.trunc(y + np.copysign(0.5, y)), -CODES, CODES)
+
+
+def _vectors(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, T.StructField]:
+    d = df.select(key, F.col(vec).cast("array<double>").alias("_v")).where("_v is not null")
+    return d, d.schema[key]
+
+
 def quantize_rows(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """``(key, scale, codes)``: 8-bit codes with one step per row; null vectors are left out."""
-    d = df.select(key, F.col(vec).cast("array<double>").alias("_v")).where("_v is not null").withColumn("scale", quantize_scale(F.col("_v")))
-    return d.select(key, "scale", quantize(F.col("_v"), F.col("scale")).alias("codes"))
+    """``(key, scale, codes)``: 8-bit codes with one step per row; null vectors are left out, missing numbers count as 0."""
+    d, of = _vectors(df, key, vec)
+
+    def run(batches):
+        for b in batches:
+            _, bounds, _, scale, codes = _coded(b.column("_v"))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(codes.astype(np.int8)))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(scale), lists], [key, "scale", "codes"])
+
+    return d.mapInArrow(run, T.StructType([of, T.StructField("scale", T.DoubleType()), T.StructField("codes", T.ArrayType(T.ByteType()))]))
 
 
 def quantize_error(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """``(key, scale, max_error, cosine)`` of each row against its codes."""
-    d = df.select(key, F.col(vec).cast("array<double>").alias("_v")).where("_v is not null").withColumn("scale", quantize_scale(F.col("_v")))
-    d = d.withColumn("_b", dequantize(quantize(F.col("_v"), F.col("scale")), F.col("scale")))
-    worst = F.array_max(F.zip_with("_v", "_b", lambda x, y: F.abs(x - y)))
-    return d.select(key, "scale", worst.alias("max_error"), cosine(F.col("_v"), F.col("_b")).alias("cosine"))
+    """``(key, scale, max_error, cosine)`` of each row against its codes; 0 for an empty or zero vector."""
+    d, of = _vectors(df, key, vec)
+
+    def run(batches):
+        for b in batches:
+            x, bounds, row, scale, codes = _coded(b.column("_v"))
+            back, n = codes * scale[row], len(scale)
+            worst = np.zeros(n)
+            np.maximum.at(worst, row, np.abs(x - back))
+            both, own, coded = (np.bincount(row, w, n) for w in (x * back, x * x, back * back))
+            size = np.sqrt(own) * np.sqrt(coded)
+            cosine = np.where(size > TINY, both / np.where(size > TINY, size, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(scale), pa.array(worst), pa.array(cosine)], [key, "scale", "max_error", "cosine"])
+
+    return d.mapInArrow(run, T.StructType([of, *(T.StructField(c, T.DoubleType()) for c in ("scale", "max_error", "cosine"))]))
 
 
 def coded_tokens(tokens: DataFrame, dim: int) -> DataFrame:
@@ -32,13 +71,9 @@ def coded_tokens(tokens: DataFrame, dim: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = np.asarray(b.column("vec").flatten(), np.float64).reshape(-1, dim)
-            top = np.abs(x).max(1, keepdims=True, initial=0)
-            scale = np.where(top > 1e-8, top / CODES, 0.0)
-            y = x * np.where(scale > 0, 1 / np.where(scale > 0, scale, 1), 0.0)
-            # halves away from zero, as the column functions round
-            back = np.clip(np.trunc(y + np.copysign(0.5, y)), -CODES, CODES) * scale
-            yield pa.RecordBatch.from_arrays([b.column("token_id"), pa.FixedSizeListArray.from_arrays(pa.array(back.ravel()), dim).cast(pa.list_(pa.float64())), b.column("sif")], ["token_id", "vec", "sif"])
+            _, bounds, row, scale, codes = _coded(b.column("vec"))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(codes * scale[row]))
+            yield pa.RecordBatch.from_arrays([b.column("token_id"), lists, b.column("sif")], ["token_id", "vec", "sif"])
 
     d = tokens.select(F.col("token_id").cast("long").alias("token_id"), F.col("vec").cast("array<double>").alias("vec"), F.col("sif").cast("double").alias("sif")).where(F.size("vec") == dim)
     return d.mapInArrow(run, "token_id long, vec array<double>, sif double")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +27,14 @@ def token_matrix(emb: DataFrame, dim: int, limit: int = MAX_MODEL_BYTES) -> tupl
     return ids[order], np.hstack([vec * w[:, None], w[:, None]])[order]
 
 
-def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord", tokens: str = "token_ids", keep: bool = False, held: tuple | None = None) -> DataFrame:
+def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord", tokens: str = "token_ids", keep: bool = False, held: tuple | Broadcast | None = None) -> DataFrame:
     """``(key, vec)``, or with ``keep`` all columns and ``vec``: sum of weight * vector over sum of weights of the tokens of each row.
 
     ``emb`` has ``token_id``, ``vec`` and ``sif``. Ids without a row or with weight 0 do
     not count; a row with no weight (or no tokens) gets a zero vector. The token table
     travels with the tasks while making it takes at most MAX_MODEL_BYTES; above, tokens are
-    joined. ``held`` is a ``token_matrix`` of ``emb`` that is there already.
+    joined. ``held`` is a ``token_matrix`` of ``emb`` that is there already, or the
+    broadcast of one.
     """
     held = token_matrix(emb, dim) if held is None else held
     picked = chunks.select(F.col(key).alias("key"), F.col(tokens).alias("tokens"))
@@ -45,14 +48,14 @@ def pool(chunks: DataFrame, emb: DataFrame, dim: int, *, key: str = "chunk_ord",
         rows, lists_in = picked, "tokens"
         out = T.StructType([picked.schema["key"], T.StructField("vec", T.ArrayType(T.DoubleType()))])
     passed = [f.name for f in out.fields[:-1]]
-    sent = chunks.sparkSession.sparkContext.broadcast(held)
+    sent = held if isinstance(held, Broadcast) else chunks.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
-        ids, weighted = sent.value
         for b in batches:
+            ids, weighted = sent.value  # read by the first batch of a worker; tasks without rows need none
             lists = b.column(lists_in)
             flat = np.asarray(lists.flatten().fill_null(-1), np.int64)
-            n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
             row = np.repeat(np.arange(b.num_rows), n)
             at = np.minimum(np.searchsorted(ids, flat), max(0, len(ids) - 1))
             ok = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)

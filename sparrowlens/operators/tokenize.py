@@ -74,10 +74,10 @@ class WordPiece:
 
 def vocabulary(vocab: DataFrame, limit: int = MAX_VOCABULARY) -> dict[str, int]:
     """Token -> id of a vocabulary of checked size; the smallest id of a repeated token counts."""
-    rows = vocab.where("token is not null").groupBy("token").agg(F.min("token_id").alias("token_id")).limit(limit + 1).collect()
+    rows = vocab.where("token is not null").groupBy("token").agg(F.min("token_id").alias("token_id")).limit(limit + 1).toArrow()
     if len(rows) > limit:
         raise ValueError(f"a vocabulary may have at most {limit} tokens")
-    return {r.token: r.token_id for r in rows}
+    return dict(zip(rows.column("token").to_pylist(), rows.column("token_id").to_pylist()))
 
 
 def tokenize(docs: DataFrame, vocab: DataFrame, *, text: str = "text", normalize: bool = True, unknown: str = "[UNK]") -> DataFrame:
@@ -95,8 +95,9 @@ def tokenize(docs: DataFrame, vocab: DataFrame, *, text: str = "text", normalize
     rest = [f for f in docs.schema.fields if f.name not in {"token_ids", "tok_start", "tok_end"}]
 
     def run(batches):
-        wp = WordPiece(*sent.value)
+        wp = None
         for b in batches:
+            wp = wp or WordPiece(*sent.value)  # tasks without rows need no vocabulary
             done = [(None,) * 4 if t is None else wp.encode(t, normalize=normalize) for t in b.column(text).to_pylist()]
             cols = [pa.array([d[0] for d in done], pa.string()) if f.name == text else b.column(f.name) for f in rest]
             cols += [pa.array([d[j] for d in done], pa.list_(pa.int32())) for j in (1, 2, 3)]
@@ -111,8 +112,9 @@ def split_words(words: DataFrame, vocab: DataFrame, *, word: str = "word", unkno
     sent = words.sparkSession.sparkContext.broadcast((pieces, pieces.get(unknown, 1)))
 
     def run(batches):
-        wp = WordPiece(*sent.value)
+        wp = None
         for b in batches:
+            wp = wp or WordPiece(*sent.value)
             w = b.column("word")
             yield pa.RecordBatch.from_arrays([w, pa.array([wp.split(x) for x in w.to_pylist()], pa.list_(pa.int32()))], ["word", "pieces"])
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import norm, without_component
 from ..operators.linear import top_component
 from ..operators.pooling import pool
 from ..operators.search import search
@@ -15,12 +17,32 @@ from ..operators.windows import OVERLAP, SIZE, window_starts, windows
 from .staging import staged
 
 
-def without_axis(pooled: DataFrame, axis: np.ndarray, key: str) -> DataFrame:
-    """``(key, vec, norm)`` of pooled vectors without their part along ``axis``, or along each of several in turn."""
-    v = F.col("vec")
-    for x in np.atleast_2d(np.asarray(axis, float)):
-        v = without_component(v, F.array(*[F.lit(float(y)) for y in x]))
-    return pooled.select(key, v.alias("vec")).withColumn("norm", norm(F.col("vec")))
+def without_axis(pooled: DataFrame, axis: np.ndarray, key: str, *, keep: bool = False) -> DataFrame:
+    """``(key, vec, norm)``, or with ``keep`` all columns and ``norm``: pooled vectors without
+    their part along ``axis``, or along each of several in turn.
+
+    One pass in Arrow batches, since column expressions over arrays are not compiled.
+    Vectors that are null or of another length than the axis come out null.
+    """
+    axes = np.atleast_2d(np.asarray(axis, float))
+    dim = axes.shape[1]
+    d = (pooled.drop("norm") if keep else pooled.select(key, "vec")).withColumn("vec", F.col("vec").cast("array<double>"))
+    rest = [f for f in d.schema.fields if f.name != "vec"]
+    out = T.StructType([*rest, T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("norm", T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("vec")
+            full = np.asarray(pc.fill_null(pc.list_value_length(lists), -1)) == dim
+            x = np.asarray(lists.filter(pa.array(full)).flatten(), np.float64).reshape(-1, dim)
+            for a in axes:
+                x = x - np.outer(x @ a, a)
+            bounds = pa.array(np.r_[0, np.cumsum(full)] * dim, pa.int32(), mask=np.r_[~full, False])
+            lengths = np.full(len(full), np.nan)
+            lengths[full] = np.sqrt((x * x).sum(1))
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), pa.ListArray.from_arrays(bounds, pa.array(x.ravel())), pa.array(lengths, mask=~full)], out.names)
+
+    return d.mapInArrow(run, out)
 
 
 def search_tokens(queries: DataFrame, emb: DataFrame, index: DataFrame, k: int = 8, *, dim: int, axis: np.ndarray | None = None, query_key: str = "query_id", key: str = "chunk_ord") -> DataFrame:
@@ -61,8 +83,5 @@ def index_documents(docs: DataFrame, vocab: DataFrame, emb: DataFrame, dim: int,
     w = windows(t, size=size, overlap=overlap).drop("chunk_id")
     # vectors are made in the pass that cuts the windows, so nothing is joined or shuffled
     v = pool(w.withColumn("_id", F.concat_ws("#", "doc_hash", "start")), emb, dim, key="_id", keep=True)
-    vec = F.col("vec")
-    for x in np.atleast_2d(np.asarray(axis, float)):
-        vec = without_component(vec, F.array(*[F.lit(float(y)) for y in x]))
-    chunks = v.withColumn("vec", vec).select("doc_hash", "start", "doc_name", F.col("chunk_text").alias("text"), "token_ids", "char_start", "char_end", "vec", norm(F.col("vec")).alias("norm"))
+    chunks = without_axis(v.drop("_id"), axis, "doc_hash", keep=True).withColumnRenamed("chunk_text", "text").select("doc_hash", "start", "doc_name", "text", "token_ids", "char_start", "char_end", "vec", "norm")
     return t.select("doc_hash", "doc_name", F.coalesce(F.size(window_starts(F.size("token_ids"), size, overlap)), F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("added_at")), chunks

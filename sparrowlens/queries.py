@@ -100,6 +100,7 @@ def embed_search(spark, d):
     """A query text from tokens to the 8 chunks whose pooled vectors are closest."""
     emb = _tokens(spark, d)
     held = token_matrix(emb, DIM)
+    held = held and spark.sparkContext.broadcast(held)
     pooled = staged(pool(_chunks(spark, d), emb, DIM, held=held))
     axis = linear.top_component(pooled, DIM)
     q = tokenize(spark.createDataFrame([(0, QUERY_TEXT)], "query_id long, text string"), table(spark, d, "vocab"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.order import prefix_sum
+from ..plans.staging import staged
 from .raw import write_ranges
 
 # Fixed values of the format.
@@ -160,7 +161,7 @@ def write_packed(model: DataFrame, path: str, components: np.ndarray, *, unk: in
     the bytes of all tokens in 32 bits.
     """
     components = np.asarray(components, "<f4").reshape(-1, np.asarray(components).shape[-1])
-    d = model.select("token_id", F.coalesce("token", F.lit("")).alias("token"), "codes", "scale", "sif")
+    d = staged(model.select("token_id", F.coalesce("token", F.lit("")).alias("token"), "codes", "scale", "sif"))
     stats = d.selectExpr("count(*) n", "min(token_id) a", "max(token_id) b", "count(distinct token_id) u", "min(size(codes)) d0", "max(size(codes)) d1", "coalesce(sum(cast(octet_length(token) as long)), 0L) heap").first()
     if stats.n and not (stats.a == 0 and stats.b == stats.n - 1 and stats.u == stats.n):
         raise ValueError("packed model: token ids must be 0..V-1, each once")

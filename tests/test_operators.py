@@ -90,6 +90,23 @@ def test_queries_without_tokens_have_no_hits(spark):
     assert got == {(1, 1): 0, (1, 2): 1, (5, 1): 1, (5, 2): 0}
 
 
+def test_component_of_odd_vectors(spark):
+    d = spark.createDataFrame([(1, [1.0, 1.0], "a"), (2, None, None), (3, [1.0], "c"), (4, [0.0, 0.0], "d")], "id long, vec array<double>, x string")
+    r = {x.id: x for x in without_axis(d, np.array([1.0, 0.0]), "id", keep=True).collect()}
+    assert (r[1].vec, r[1].norm, r[1].x) == ([0.0, 1.0], 1.0, "a")
+    assert (r[2].vec, r[2].norm, r[3].vec, r[3].norm) == (None, None, None, None)
+    assert (r[4].vec, r[4].norm) == ([0.0, 0.0], 0.0)
+    assert without_axis(d.limit(0), np.array([1.0, 0.0]), "id").isEmpty()
+
+
+def test_codes_of_odd_vectors(spark):
+    d = spark.createDataFrame([(1, [1.0, None, float("nan")]), (2, None), (3, [])], "id long, v array<double>")
+    r = {x.id: x for x in model.quantize_rows(d, "id", "v").collect()}
+    assert set(r) == {1, 3} and list(r[1].codes) == [127, 0, 0] and (r[3].scale, list(r[3].codes)) == (0.0, [])
+    e = {x.id: x for x in model.quantize_error(d, "id", "v").collect()}
+    assert (e[1].cosine, e[1].max_error, e[3].cosine, e[3].max_error) == (1.0, 0.0, 0.0, 0.0)
+
+
 def test_coded_tokens_are_what_the_columns_give(spark):
     t = spark.createDataFrame([(i, [float(v) for v in r], 1.0) for i, r in enumerate(np.vstack([RNG.standard_normal((50, 6)), np.zeros((1, 6))]))], "token_id int, vec array<double>, sif double")
     q = model.quantize_rows(t, "token_id", "vec").collect()
