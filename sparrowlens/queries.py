@@ -103,7 +103,7 @@ def embed_search(spark, d):
     held = held and spark.sparkContext.broadcast(held)
     pooled = staged(pool(_chunks(spark, d), emb, DIM, held=held))
     axis = linear.top_component(pooled, DIM)
-    q = tokenize(spark.createDataFrame([(0, QUERY_TEXT)], "query_id long, text string"), table(spark, d, "vocab"))
+    q = tokenize(spark.range(0, 1, 1, 1).select(F.col("id").alias("query_id"), F.lit(QUERY_TEXT).alias("text")), table(spark, d, "vocab"))
     qv = without_axis(pool(q, emb, DIM, key="query_id", held=held), axis, "query_id")
     return search(qv, without_axis(pooled, axis, "chunk_ord"), K, dim=DIM).select("chunk_ord", F.round("score", 5).alias("score"))
 
@@ -245,6 +245,13 @@ def tokenize_documents(spark, d):
     return t.select("doc_id", "token_ids", "tok_start", "tok_end")
 
 
+@_query
+def token_spans(spark, d):
+    """Tokens and spans of every document that has a text, over the text as it stands."""
+    t = tokenize(table(spark, d, "documents").where("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"]), table(spark, d, "vocab"), normalize=False)
+    return t.select("doc_id", "token_ids", "tok_start", "tok_end")
+
+
 @_query
 def html_escaped(spark, d):
     """Every document safe for HTML."""
@@ -499,6 +506,23 @@ def codec_roundtrip(spark, d):
     return back.select("token_id", "token", F.transform("codes", lambda x: x.cast("int")).alias("codes"), F.round("scale", 6).alias("scale"), F.round("sif", 6).alias("sif"))
 
 
+@_query
+def packed_sections(spark, d):
+    """Where the sections of the packed model of the vocabulary start, and its size in bytes."""
+    v = table(spark, d, "vocab").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("heap")).first()
+    h = packed.Header(v.n, DIM, 1, 1, 2, 3, 0, 1e-3, blob=v.heap)
+    places = [("offsets", h.offsets_at), ("heap", h.blob_at), ("codes", h.codes_at), ("scales", h.scales_at), ("weights", h.sif_at), ("components", h.components_at), ("end", h.components_at + 4 * DIM)]
+    return spark.createDataFrame(places, "section string, starts long")
+
+
+@_query
+def vocab_file_roundtrip(spark, d):
+    """The vocabulary written to one file and read back."""
+    path = raw.local(_new_path(spark, "vocab"))
+    raw.write_vocabulary(table(spark, d, "vocab").select("token_id", F.coalesce("token", F.lit("")).alias("token")), path)
+    return raw.read_vocabulary(spark, path)
+
+
 @_query
 def raw_roundtrip(spark, d):
     """The given vectors written as rows of floats and read back in ranges."""
@@ -528,18 +552,43 @@ def store_roundtrip(spark, d):
     return store.docs().select("doc_hash", "doc_name", (F.col("chunk_count") > 0).alias("has_windows"))
 
 
-@_query
-def store_chunks(spark, d):
-    """The windows of the items, each under the hash of its text: how many, and the last character."""
+def _item_store(spark, d) -> Store:
+    """A store of the windows of the items, each under the hash of its text."""
     store = Store(spark, _new_path(spark, "store"))
     items = _items(spark, d).where("text is not null").withColumn("doc_hash", F.sha2("text", 256))
     w = windows(items).select("doc_hash", "start", "doc_name", F.col("chunk_text").alias("text"), "token_ids", "char_start", "char_end")
     v = pool(w.withColumn("_id", F.concat_ws("#", "doc_hash", "start")), _tokens(spark, d), DIM, key="_id", keep=True)
     meta = items.groupBy("doc_hash").agg(F.min("doc_name").alias("doc_name")).select("doc_hash", "doc_name", F.lit(0).alias("chunk_count"), F.current_timestamp().alias("added_at"))
     store.put(meta, v.withColumn("norm", norm(F.col("vec"))))
+    return store
+
+
+@_query
+def store_chunks(spark, d):
+    """The windows of the items: how many there are of each text, and the last character."""
+    store = _item_store(spark, d)
     return store.chunks().groupBy("doc_hash").agg(F.count(F.lit(1)).alias("windows"), F.max("char_end").alias("last_char"))
 
 
+@_query
+def store_lookup(spark, d):
+    """The windows that the store of the items gives for the text of its first item with tokens, in order."""
+    store = _item_store(spark, d)
+    first = _items(spark, d).where("text is not null and size(token_ids) > 0").orderBy("item_id").select(F.sha2("text", 256).alias("h")).first()
+    of = store.get_doc(first.h).select("doc_hash", F.col("doc_name").alias("known_as"))
+    return store.get_chunks(first.h).join(of, "doc_hash").select("start", "char_start", "char_end", F.size("token_ids").alias("n_tok"), "known_as")
+
+
+@_query
+def store_cleared(spark, d):
+    """Entries of a store of the items before and after it is emptied."""
+    store = _item_store(spark, d)
+    count = lambda when: store.docs().agg(F.lit(when).alias("at"), F.count(F.lit(1)).alias("docs"))
+    before = staged(count("before"))
+    store.clear()
+    return before.unionByName(count("after"))
+
+
 @_query
 def stream_ingest(spark, d):
     """The documents as a stream of files into a fresh store; the texts that have windows."""

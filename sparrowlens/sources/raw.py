@@ -1,7 +1,7 @@
 """Exchange files of the model build: manifest, vocabulary, float rows, validation set, report.
 
-All numbers are little-endian; strings are a length and UTF-8 bytes. Float rows, the one
-large file, are written and read in ranges by the tasks; the others hold a model's few words or examples.
+All numbers are little-endian; strings are a length and UTF-8 bytes. Float rows and the
+vocabulary are written and read in ranges by the tasks; the others hold a model's few examples.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.order import with_ordinal
+from ..operators.order import prefix_sum, with_ordinal
 from ..plans.staging import staged
 
 # Fixed values of the format.
@@ -69,27 +69,53 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([row], MANIFEST)
 
 
-def write_vocabulary(vocab: DataFrame, path: str, limit: int = 2_000_000) -> None:
-    """Tokens in the order of their ids: count, offsets, heap. At most ``limit`` tokens."""
-    tokens = [(r.token or "").encode("utf-8") for r in vocab.orderBy("token_id").select("token").limit(limit + 1).collect()]
-    if len(tokens) > limit:
-        raise ValueError(f"a vocabulary may have at most {limit} tokens")
+def write_vocabulary(vocab: DataFrame, path: str) -> int:
+    """Tokens in the order of their ids: count, offsets, heap; tasks write them to their places.
+
+    Missing tokens are written as empty ones. The format counts the bytes of all tokens in 32 bits.
+    """
+    d = with_ordinal(vocab.select("token_id", F.coalesce("token", F.lit("")).alias("token")), ["token_id"], "row").withColumn("length", F.octet_length("token"))
+    placed = staged(prefix_sum(d, ["row"], "length", "offset"))
+    n, heap = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("length").cast("long")), F.lit(0))).first()
+    if heap >= 1 << 32:
+        raise ValueError("vocabulary: tokens of more than 4 GiB")
     with open(path, "wb") as f:
-        f.write(struct.pack("<I", len(tokens)))
-        f.write(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype("<u4").tobytes())
-        f.write(b"".join(tokens))
+        f.write(struct.pack("<I", n))
+        f.truncate(8 + 4 * n + heap)
+        f.seek(4 + 4 * n)
+        f.write(struct.pack("<I", heap))
+
+    def sections(b):
+        offset = np.asarray(b.column("offset"), np.int64)
+        yield 4 + 4 * b.column("row")[0].as_py(), offset.astype("<u4").tobytes()
+        yield 8 + 4 * n + int(offset[0]), "".join(b.column("token").to_pylist()).encode("utf-8")
+
+    return write_ranges(placed.select("row", "token", "offset"), path, "row", sections)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """``(token_id, token)``."""
+    """``(token_id, token)``; every task reads a range of the offsets and its part of the heap."""
     with open(path, "rb") as f:
         n = _u32(f)
-        offsets = _numbers(f, n + 1, "<u4")
-        heap = f.read(int(offsets[-1]))
-    if len(heap) < int(offsets[-1]):
+        f.seek(4 + 4 * n)
+        heap = _u32(f)
+    if os.path.getsize(path) < 8 + 4 * n + heap:
         raise ValueError("vocabulary: the file ends early")
-    rows = [(i, heap[int(a) : int(b)].decode("utf-8")) for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]
-    return spark.createDataFrame(rows, "token_id int, token string")
+    parts = max(1, -(-n // ROWS_PER_PART))
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for p in b.column("id").to_pylist():
+                first, end = p * ROWS_PER_PART, min(n, (p + 1) * ROWS_PER_PART)
+                with open(path, "rb") as f:
+                    f.seek(4 + 4 * first)
+                    offsets = _numbers(f, end - first + 1, "<u4").astype(np.int64)
+                    f.seek(8 + 4 * n + int(offsets[0]))
+                    part = f.read(int(offsets[-1] - offsets[0]))
+                at = (offsets - offsets[0]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, end), pa.int32()), pa.array([part[x:y].decode("utf-8") for x, y in zip(at, at[1:])], pa.string())], ["token_id", "token"])
+
+    return spark.range(0, parts, 1, parts).mapInArrow(read, "token_id int, token string")
 
 
 def local(path: str) -> str:

@@ -104,6 +104,13 @@ _AXIS = f"""pcoord as (select chunk_ord as id, unnest(range(1, 65)) as i, unnest
      {_power('axis', 200, None, _START)},
      bare as (select chunk_ord, list_transform(list_zip(vec, v), lambda q: q[1] - list_dot_product(vec, v) * q[2]) as vec from pooled, axis)"""
 _WORDS = f"word as (select unnest(regexp_extract_all(lower(text), '{_PAT}')) as word from doc)"
+# greedy pieces of every distinct word
+_PIECES = """w as (select distinct word from word),
+     cand as (select word, s, l, case when s > 0 then '##' else '' end || substring(word, s + 1, l) as piece
+              from (select word, s, unnest(range(1, least(16, length(word) - s) + 1)) as l from (select word, unnest(range(0, length(word))) as s from w where length(word) <= 100))),
+     best as (select word, s, arg_max(token_id, l) as id, max(l) as l from cand join vocab on token = piece group by 1, 2),
+     walk as (select word, 0::bigint as pos, []::int[] as ids from w union all
+              select walk.word, pos + best.l, list_append(ids, best.id) from walk join best on best.word = walk.word and best.s = walk.pos)"""
 # the same chunks pooled from the codes of the tokens
 _CODED = """qtok as (select token_id, sif, case when m > 1e-8 then [greatest(-127, least(127, round(x * (1.0 / (m / 127))))) * (m / 127) for x in vec] else [0.0 for x in vec] end as vec
               from (select *, list_max([abs(x) for x in vec]) as m from tok)),
@@ -149,12 +156,7 @@ ORACLE_SQL = {
     "vocab_lookup": f"with {_CHUNK}, used as (select unnest(token_ids) as token_id from chunk), c as (select token_id, count(*) as n from used where token_id is not null group by 1) select c.token_id, coalesce(v.token, '') as token, n from c left join vocab v using (token_id)",
     "pretokenize_counts": f"with {_DOC}, w as (select doc_id, regexp_extract_all(lower(text), '{_PAT}') as w from doc where text is not null) select doc_id, len(w)::int as words, len(list_distinct(w))::int as distinct_words from w",
     "word_freq": f"with {_DOC}, {_WORDS} select word, count(*) as n from word group by 1",
-    "wordpiece_pieces": f"""with recursive {_DOC}, {_WORDS}, w as (select distinct word from word),
-        cand as (select word, s, l, case when s > 0 then '##' else '' end || substring(word, s + 1, l) as piece
-                 from (select word, s, unnest(range(1, least(16, length(word) - s) + 1)) as l from (select word, unnest(range(0, length(word))) as s from w where length(word) <= 100))),
-        best as (select word, s, arg_max(token_id, l) as id, max(l) as l from cand join vocab on token = piece group by 1, 2),
-        walk as (select word, 0::bigint as pos, []::int[] as ids from w union all
-                 select walk.word, pos + best.l, list_append(ids, best.id) from walk join best on best.word = walk.word and best.s = walk.pos),
+    "wordpiece_pieces": f"""with recursive {_DOC}, {_WORDS}, {_PIECES},
         done as (select word, ids from walk where pos = length(word))
         select w.word, coalesce(done.ids, [1]) as pieces from w left join done using (word)""",
     "html_escaped": f"with {_DOC} select doc_id, {_ESCAPE} as html from doc",
@@ -204,6 +206,18 @@ ORACLE_SQL = {
         {_kmeans(source='emb as (select chunk_ord as vec_id, vec from stored)')}
         select chunk_ord, round(list_dot_product(s.vec, f.v), 4) as x, round(list_dot_product(s.vec, g.v), 4) as y, a.cluster::int as cluster, (a.cluster % 8)::int as colour
         from stored s join a14 a on a.vec_id = s.chunk_ord, first f, second g""",
+    "token_spans": f"""with recursive {_DOC}, {_WORDS}, {_PIECES},
+        done as (select word, ids from walk where pos = length(word)),
+        seg as (select doc_id, unnest(range(1, len(p) + 1)) as k, unnest(p) as s from (select doc_id, regexp_extract_all(text, '[{_S}]+|{_PAT}') as p from doc)),
+        place as (select doc_id, k, s, coalesce(sum(length(s)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::int as a from seg),
+        piece as (select doc_id, k, a, (a + length(s))::int as b, unnest(range(1, len(coalesce(ids, [1])) + 1)) as j, unnest(coalesce(ids, [1])) as id
+                  from place left join done on word = lower(s) where regexp_full_match(s, '{_PAT}')),
+        lists as (select doc_id, list(id order by k, j) as ids, list(a order by k, j) as a, list(b order by k, j) as b from piece group by 1)
+        select doc_id, coalesce(ids, []) as token_ids, coalesce(a, []) as tok_start, coalesce(b, []) as tok_end from doc left join lists using (doc_id) where text is not null""",
+    "packed_sections": """with v as (select count(*) as n, coalesce(sum(strlen(token)), 0) as heap from vocab), h as (select n, 40 + 4 * (n + 1) as heap_at, 40 + 4 * (n + 1) + 4 * ((heap + 3) // 4) as codes_at from v)
+        select section, starts::bigint as starts from (select unnest(['offsets', 'heap', 'codes', 'scales', 'weights', 'components', 'end']) as section,
+               unnest([40, heap_at, codes_at, codes_at + 64 * n, codes_at + 68 * n, codes_at + 72 * n, codes_at + 72 * n + 256]) as starts from h)""",
+    "vocab_file_roundtrip": "select token_id, coalesce(token, '') as token from vocab",
     "missing_ids": "select i::int as token_id from (select unnest(range(40000)) as i) where i not in (select token_id from vocab where token is not null)",
     "codec_roundtrip": f"""with {_WEIGHT}, {_QUANT} select w.token_id, coalesce(w.token, '') as token, c.codes, round(c.scale::float::double, 6) as scale, round(w.sif::float::double, 6) as sif
         from weight w join coded c on c.vec_id = w.token_id % (select count(*) from emb)""",
@@ -211,5 +225,9 @@ ORACLE_SQL = {
     "store_roundtrip": f"select sha256(text) as doc_hash, min(doc_name) as doc_name, bool_or(len(regexp_extract_all(lower(text), '{_PAT}')) > 0) as has_windows from documents where text is not null group by text",
     "store_chunks": f"""with {_ITEM}, n as (select sha256(text) as doc_hash, len(token_ids) as n, tok_end from item where text is not null and len(token_ids) > 0)
         select doc_hash, sum(case when n <= 128 then 1 else ceil((n - 128) / 96)::bigint + 1 end)::bigint as windows, max(list_last(tok_end)) as last_char from n group by 1""",
+    "store_lookup": f"""with {_ITEM}, one as (select * from item where text is not null and len(token_ids) > 0 order by item_id limit 1),
+        s as (select *, unnest([x for x in range(0, len(token_ids)::bigint, 96) if x = 0 or x + 32 < len(token_ids)]) as start, (select min(doc_name) from item where item.text = one.text) as known_as from one)
+        select start::int as start, tok_start[start + 1] as char_start, tok_end[least(start + 128, len(tok_end))] as char_end, len(token_ids[start + 1:start + 128])::int as n_tok, known_as from s""",
+    "store_cleared": f"with {_ITEM} select 'before' as at, count(distinct text) as docs from item union all select 'after', 0",
     "stream_ingest": f"select sha256(text) as doc_hash, 0 as first_start, min(doc_name) as doc_name from documents where text is not null and len(regexp_extract_all(lower(text), '{_PAT}')) > 0 group by text",
 }

@@ -114,6 +114,11 @@ def test_exchange_files(spark, tmp_path):
     v = spark.createDataFrame([(0, "a"), (1, "日本"), (2, "")], "token_id int, token string")
     raw.write_vocabulary(v, str(tmp_path / "v"))
     assert raw.read_vocabulary(spark, str(tmp_path / "v")).orderBy("token_id").collect() == v.collect()
+    raw.write_vocabulary(v.limit(0), str(tmp_path / "none"))
+    assert raw.read_vocabulary(spark, str(tmp_path / "none")).isEmpty()
+    (tmp_path / "v").write_bytes((tmp_path / "v").read_bytes()[:-1])
+    with pytest.raises(ValueError, match="early"):
+        raw.read_vocabulary(spark, str(tmp_path / "v"))
     x = spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "k int, v array<float>")
     assert raw.write_floats(x, str(tmp_path / "f"), "k", "v") == 2
     assert [list(r.vec) for r in raw.read_floats(spark, str(tmp_path / "f"), 2, 2).orderBy("row").collect()] == [[1.0, 2.0], [3.0, 4.0]]
