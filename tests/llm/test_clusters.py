@@ -121,3 +121,62 @@ def test_closest_sees_all_centroids_in_blocks(spark, monkeypatch):
     for i in range(90):
         denser = [j for j in range(90) if (rho[j], -j) > (rho[i], -i) and t[i, j] >= 0.5]
         assert (i in up) == bool(denser) and (not denser or up[i] == max(denser, key=lambda j: t[i, j]))
+
+
+def test_a_row_follows_what_is_near_and_sums_need_no_order():
+    u = clusters._normed(RNG.standard_normal((3000, 6)))
+    near = np.full((3000, 2), -1)
+    rho = clusters._density(u, 2, near)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert (near == np.argsort(-s, 1, kind="stable")[:, :2]).mean() > 0.999
+    assert np.allclose(rho, -np.partition(-s, 1)[:, 1], atol=1e-6)
+    assert (clusters._followed(u, rho, 0.5, near) == clusters._followed(u, rho, 0.5)).mean() > 0.999
+    group = RNG.integers(0, 40, 3000)
+    assert np.allclose(clusters._summed(u, group, 41), [u[group == g].astype(float).sum(0) for g in range(41)])
+
+
+def test_products_stay_in_tiles(monkeypatch):
+    # 4096 rows against themselves took products of 1024 x 4096, more than the cache of a core holds
+    largest = []
+    real = np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: largest.append(out.size) or real(a, b, out=out))
+    u = clusters._normed(RNG.standard_normal((4096, 8)))
+    clusters._followed(u, clusters._density(u, 2), 0.5)
+    assert largest and max(largest) <= clusters.TILE * clusters.BLOCK
+
+
+def test_messages_are_held_together_and_few_rows_use_all_cores(spark, monkeypatch):
+    # a table was written for each message, and rows of one file were one task
+    monkeypatch.setattr(clusters, "SENT", 20)
+    monkeypatch.setattr(clusters, "BLOCK", 8)
+    written, real = [], clusters.staged
+    monkeypatch.setattr(clusters, "staged", lambda d: written.append(d.rdd.getNumPartitions()) or real(d))
+    rows = spark.createDataFrame([(i, 1, [float(v) for v in r]) for i, r in enumerate(clusters._normed(RNG.standard_normal((90, 8))))], "rep long, w long, unit array<float>").coalesce(1)
+    assert clusters._densities(rows, 8, 2).count() == 90
+    assert len(written) == 2 and written[0] >= 4
+
+
+def test_centroids_of_sums_in_any_number_of_batches(spark, monkeypatch):
+    # every sum became a row for each dimension; sums that cancel out had no centroid and ended the query
+    x = RNG.standard_normal((500, 4))
+    local = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(500, [1.0, 0.0, 0.0, 0.0], 1), (501, [-1.0, 0.0, 0.0, 0.0], 1)], "local long, total array<double>, n long")
+    comp = spark.createDataFrame([(i, i % 7) for i in range(500)] + [(500, 500), (501, 500)], "local long, component long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r.component: (r.centre, r.n) for r in clusters._centres(local, comp, 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == 8 and got[500] == ([0.0] * 4, 2)
+    for g in range(7):
+        total = x[np.arange(500) % 7 == g].sum(0)
+        assert np.allclose(got[g][0], total / np.linalg.norm(total)) and got[g][1] == sum(i % 7 == g for i in range(500))
+
+
+def test_equal_vectors_find_their_cluster_by_hash_or_by_vector(spark, monkeypatch):
+    x, _ = planted()
+    d = frame(spark, np.repeat(x, 3, axis=0))
+    want = {(r.ord, r.cluster) for r in similarity_clusters(d, dim=16).collect()}
+    monkeypatch.setattr(clusters, "_told_apart", lambda same: False)
+    assert want and {(r.ord, r.cluster) for r in similarity_clusters(d, dim=16).collect()} == want
