@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sparrowlens.llm import clusters
+from sparrowlens.llm import clusters, vectors
 from sparrowlens.llm.clusters import describe_clusters, local_clusters, pairs_within, similarity_clusters
 
 RNG = np.random.default_rng(5)
@@ -180,3 +180,17 @@ def test_equal_vectors_find_their_cluster_by_hash_or_by_vector(spark, monkeypatc
     want = {(r.ord, r.cluster) for r in similarity_clusters(d, dim=16).collect()}
     monkeypatch.setattr(clusters, "_told_apart", lambda same: False)
     assert want and {(r.ord, r.cluster) for r in similarity_clusters(d, dim=16).collect()} == want
+
+
+def test_vectors_pass_as_bytes(spark):
+    # lists of 64 numbers were copied number by number in every pass
+    x = RNG.standard_normal((20, 4))
+    d = frame(spark, x).unionByName(frame(spark, x[:5] * 2)).unionByName(frame(spark, -x[5:7], 5))
+    lists = {r.ord: r.unit for r in vectors.unit_vectors(d, 4).collect()}
+    packed = vectors.unit_vectors(d, 4, packed=True)
+    got = packed.toArrow()
+    assert packed.count() == len(lists) == 20 and packed.schema["unit"].dataType.simpleString() == "binary"
+    units = vectors.matrix(got.column("unit").combine_chunks(), 4)
+    assert {int(k): [float(v) for v in r] for k, r in zip(got.column("ord").to_pylist(), units)} == lists
+    part = vectors.as_bytes(units).slice(3, 6)
+    assert np.array_equal(vectors.matrix(part, 4), units[3:9]) and vectors.matrix(part[:0], 4).shape == (0, 4)
